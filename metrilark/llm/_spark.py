@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
+#: Bytes and rows of text that go to a Python worker at once.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by bytes, so that long texts don't add up in the workers."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
