@@ -16,7 +16,7 @@ into probabilities.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from . import calibrate
-from ._spark import cut
+from ._spark import bounded, cut
 
 #: Labelled documents of each class that are used at most; all statistics besides come from the whole corpus.
 EXAMPLES = 3000
@@ -33,6 +33,9 @@ EXAMPLES = 3000
 CHI2, LEAST_DF = 24.0, 5
 NEIGHBOURS = 15
 BLOCK = 64
+#: Queries whose neighbours a worker keeps at hand.
+CACHED = 20_000
+_EPS = 1e-11
 #: Calibrated score from which a document is toxic.
 THRESHOLD = 0.5
 SCHEMA = "doc_id long, toxic_score double, toxic boolean, evidence array<struct<doc_id:long,similarity:double,toxic:boolean>>"
@@ -66,12 +69,22 @@ class BlockMaxIndex:
     example: np.ndarray
     weight: np.ndarray
     bound: np.ndarray  # [term, block]
+    cache: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def build(cls, vocabulary: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> BlockMaxIndex:
         weight = (1 + np.log(count)) * idf[term]
         norm = np.sqrt(np.bincount(row, weight**2, len(ids)))
         weight = weight / np.where(norm, norm, 1)[row]
+        # Examples with the same heaviest term share blocks, which keeps the blocks' bounds close to their members.
+        heavy = np.zeros(len(ids), np.int64)
+        by_weight = np.argsort(weight, kind="stable")
+        heavy[row[by_weight]] = term[by_weight]
+        top = np.zeros(len(ids))
+        np.maximum.at(top, row, weight)
+        place = np.lexsort((ids, -np.round(top, 12), heavy))
+        ids, labels = ids[place], labels[place]
+        row = np.argsort(place)[row]
         order = np.lexsort((row, term))
         row, term, weight = row[order], term[order], weight[order]
         blocks = max(1, -(-len(ids) // BLOCK))
@@ -90,30 +103,39 @@ class BlockMaxIndex:
         norm = np.sqrt(np.bincount(row, weight**2, len(column)))
         return row, term, weight / np.where(norm, norm, 1)[row]
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indices and cosines of the k nearest examples that share a term, without example id ``own``; ties go to the smaller id."""
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the k nearest examples that share a term; ties go to the earlier position."""
         bounds = weights @ self.bound[terms]
-        found_i, found_s, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
+        found, cosine, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
         for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or bounds[block] < kth - 1e-12:
+            top = bounds[block]
+            if top <= 0 or top < kth - _EPS:
                 break
+            if top <= kth + _EPS and block * BLOCK > found[cosine <= kth + _EPS].max():
+                continue  # it could only tie with earlier ones
             score = np.zeros(BLOCK)
             for t, w in zip(terms, weights):
                 at = slice(self.start[t, block], self.start[t, block + 1])
                 score[self.example[at] - block * BLOCK] += w * self.weight[at]
-            inside = np.flatnonzero(score > max(0.0, kth - 1e-12))
-            example = inside + block * BLOCK
-            if own is not None:
-                keep = self.ids[example] != own
-                inside, example = inside[keep], example[keep]
-            found_i, found_s = np.concatenate([found_i, example]), np.concatenate([found_s, score[inside]])
-            if len(found_i) > k:
-                best = np.lexsort((self.ids[found_i], -np.round(found_s, 12)))[:k]
-                found_i, found_s = found_i[best], found_s[best]
-            if len(found_i) == k:
-                kth = found_s.min()
-        best = np.lexsort((self.ids[found_i], -np.round(found_s, 12)))
-        return found_i[best], found_s[best]
+            inside = np.flatnonzero(score > max(0.0, kth - _EPS))
+            found, cosine = np.concatenate([found, inside + block * BLOCK]), np.concatenate([cosine, np.round(score[inside], 12)])
+            if len(found) >= k:
+                best = np.lexsort((found, -cosine))[:k]
+                found, cosine = found[best], cosine[best]
+                kth = cosine[-1]
+        best = np.lexsort((found, -cosine))
+        return found[best], cosine[best]
+
+    def nearest_but(self, terms: np.ndarray, weights: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest`` without the example of doc_id ``own``; equal queries are searched once."""
+        key = (terms.tobytes(), weights.tobytes())
+        got = self.cache.get(key)
+        if got is None:
+            if len(self.cache) >= CACHED:
+                self.cache.clear()
+            got = self.cache[key] = self.nearest(terms, weights, k + 1)
+        keep = self.ids[got[0]] != own if own is not None else np.ones(len(got[0]), bool)
+        return got[0][keep][:k], got[1][keep][:k]
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Share of the votes for toxic: neighbours vote with weight cosine², and one clean vote of weight 1 is always there, so that distant ones can't decide."""
@@ -129,7 +151,7 @@ class BlockMaxIndex:
         first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         for a, b in zip(first, np.append(first[1:], len(row))):
             r = row[a]
-            near, cosine = self.nearest(term[a:b], weight[a:b], own[r], k)
+            near, cosine = self.nearest_but(term[a:b], weight[a:b], own[r], k)
             if len(near):
                 out[r] = self.vote(near, cosine)
                 evidence[r] = [{"doc_id": int(self.ids[i]), "similarity": float(s), "toxic": bool(self.labels[i])} for i, s in zip(near, cosine)]
@@ -150,7 +172,7 @@ class Model:
 
 
 def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +244,7 @@ def _calibrated(index, ids, label, held, row, term, count, counts, shares) -> Mo
     for r in np.flatnonzero(held):
         at = row == r
         weight = (1 + np.log(count[at])) * index.idf[term[at]]
-        near, cosine = index.nearest(term[at], weight / np.sqrt((weight**2).sum()), None, NEIGHBOURS)
+        near, cosine = index.nearest(term[at], weight / np.sqrt((weight**2).sum()), NEIGHBOURS)
         if len(near):
             votes.append(index.vote(near, cosine))
             targets.append(label[r])
@@ -272,4 +294,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) ->
             scores, _ = model.score(piece.column("text"), _own(piece.column("doc_id")))
             yield piece.filter(pa.array(scores < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
