@@ -8,6 +8,7 @@ which bounds the temporary memory by the bytes of a piece and not by the rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,10 @@ WORD_BYTE = np.zeros(256, np.uint8)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
+#: Matches in a lower-case string what ``words`` finds in its bytes.
+WORD = re.compile("[a-zA-Z0-9\u00c0-\u1fff\u2080-\u2fff\u3040-\U0010ffff]+")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold at most ``limit`` bytes of ``column``, or one row."""
     for batch in batches:

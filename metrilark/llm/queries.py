@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, simhash, toxicity
+from . import chunking, decontaminate, license, packing, pii, secrets, simhash, toxicity
 from ._spark import documents, table
 
 
@@ -22,6 +22,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op4_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fingerprints(documents(spark, sf_dir))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(documents(spark, sf_dir))
+
+
 def op7_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +38,10 @@ def op9_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_spans, op2_simhash_near_duplicates, op3_best_fit_packing, op7_benchmark_matches, op9_toxicity_neighbours)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.licenses(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_spans, op2_simhash_near_duplicates, op3_best_fit_packing, op4_chunk_fingerprints, op5_secrets, op7_benchmark_matches, op9_toxicity_neighbours, op10_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
