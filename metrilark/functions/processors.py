@@ -40,15 +40,19 @@ def last_line(text: Column) -> Column:
     return F.substring_index(text, "\n", -1)
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
+def nfkc(text: Column) -> Column:
     """Unicode compatibility normalisation; Spark has no function for it."""
-    return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+    return run(text)
 
 
 def _java(pattern: str) -> tuple[str, int]:
-    """(the pattern as Java reads it, group that stands for the match)."""
-    return re.sub(r"\(\?P<", "(?<", pattern), 1 if re.compile(pattern).groups == 1 else 0
+    """(the pattern as Java reads it, without names of groups; group that stands for the match)."""
+    return re.sub(r"\(\?P<\w+>", "(", pattern), 1 if re.compile(pattern).groups == 1 else 0
 
 
 def last_match(pattern: str, default: str | None = "") -> Processor:
