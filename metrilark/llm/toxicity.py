@@ -164,6 +164,10 @@ class Model:
     knots: np.ndarray
     values: np.ndarray
 
+    def toxic(self, scores: np.ndarray) -> np.ndarray:
+        """Which scores mean toxic; none without an index, for the labels' share alone says nothing about a document."""
+        return scores >= THRESHOLD if self.index is not None else np.zeros(len(scores), bool)
+
     def score(self, column: pa.Array, own: list) -> tuple[np.ndarray, list]:
         if self.index is None:
             return np.full(len(column), float(self.values[0])), [None] * len(column)
@@ -198,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     Labels that are null or neither 0 nor 1 are left out; of several for a doc_id
     the largest counts. Of several rows with a doc_id that is sampled the one with
     the smallest text counts. Without labelled documents of both classes, or without a
-    term that passes the test, every document gets the labels' share of toxic (0 without labels).
+    term that passes the test, every document gets the labels' share of toxic (0 without labels) and none is called toxic.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     shares = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -269,7 +273,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for piece in B.pieces(batches):
             scores, evidence = model.score(piece.column("text"), _own(piece.column("doc_id")))
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scores), pa.array(scores >= THRESHOLD), pa.array([e or [] for e in evidence], kind)], names=["doc_id", "toxic_score", "toxic", "evidence"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scores), pa.array(model.toxic(scores)), pa.array([e or [] for e in evidence], kind)], names=["doc_id", "toxic_score", "toxic", "evidence"])
 
     return _plain(docs).mapInArrow(run, SCHEMA)
 
@@ -292,6 +296,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in B.pieces(batches):
             scores, _ = model.score(piece.column("text"), _own(piece.column("doc_id")))
-            yield piece.filter(pa.array(scores < THRESHOLD))
+            yield piece.filter(pa.array(~model.toxic(scores)))
 
     return bounded(docs).mapInArrow(run, docs.schema)
