@@ -101,7 +101,7 @@ def truncate_middle(text: Column, length: int, filler: str = "...") -> Column:
 
 def regex_replace(text: Column, pattern: str, replacement: str) -> Column:
     """As Python's re.sub; group references may be written with backslashes."""
-    return F.regexp_replace(text, _java(pattern)[0], re.sub(r"\\(\d)", r"\$\1", replacement))
+    return F.regexp_replace(text, _java(pattern)[0], re.sub(r"\\(\d)", r"$\1", replacement))
 
 
 def reasoning(pattern: str) -> Callable[[Column], Column]:
