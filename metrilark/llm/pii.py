@@ -54,8 +54,8 @@ GIVEN = frozenset("james mary john patricia robert jennifer michael linda david
 FOR = re.compile(r"(?i)(e-?mail|mail|contact|write|reach|tel|phone|call|mobile|cell|fax|ip|host|address|client|card|visa|mastercard|amex|credit|iban|account|konto|compte|cuenta|ssn|social|name|signed|dear|mr|mrs|ms|dr|herr|frau|téléphone|telefon|teléfono|correo|courriel)\W*(?:\w+\W+){0,2}$")
 AGAINST = re.compile(r"(?i)(?:(?:\bv|\bver|version|build|isbn|issn|order|ticket|invoice|serial|sku|part|hash|sha|md5|token|commit|page|fig|section|uuid|ref|test|sample|dummy)\W*(?:no|nr|id|number)?\W*|=\s*[\"']?)$")
 LABELERS = ("strict_pattern", "checksum", "gazetteer", "cue_before", "counter_cue", "edges", "placeholder")
-#: Kinds whose checksum every true span passes.
-CHECKED = ("CARD", "IBAN")
+#: Kinds whose checksum every true span passes, and how often digits by chance do.
+CHECKED = {"CARD": 0.1, "IBAN": 1 / 97}
 #: Probability from which a span is personal data.
 THRESHOLD = 0.5
 SCHEMA = "doc_id long, start int, end int, kind string, score double"
@@ -149,21 +149,23 @@ class Model:
         return float(1 / (1 + np.exp(-_features(kind, cast, shape) @ self.weights)))
 
 
-def expectation_maximisation(cast: np.ndarray, n: np.ndarray, rounds: int = 200, anchored: bool = False) -> tuple[float, np.ndarray, np.ndarray]:
+def expectation_maximisation(cast: np.ndarray, n: np.ndarray, rounds: int = 200, chance: float | None = None) -> tuple[float, np.ndarray, np.ndarray]:
     """Two-class model of conditionally independent votes on the distinct vote patterns ``cast`` with counts ``n``.
 
     Returns the prior, P(vote | class) as [labeler, class, vote + 1], and the
     posterior of each pattern. It starts at 80 % right votes and keeps these as
     pseudo-counts of 2 % of the candidates (2 at least), which also settles kinds
-    with one pattern only. ``anchored``: a true span fails its checksum with the known
-    probability of a typing error, 0.002, which isn't estimated.
+    with one pattern only. ``chance``: the checksum's rates are known and not estimated: a true span
+    fails with the probability of a typing error, 0.002, and any other passes with this one.
     """
     labelers = cast.shape[1]
     # abstaining says nothing about the class at first
     start = np.tile(np.array([[0.8, 1.0, 0.2], [0.2, 1.0, 0.8]]) / 2, (labelers, 1, 1))
-    known = np.array([0.002, 1e-9, 0.998])  # it never abstains on these kinds; room for it would let the other class explain every span better
-    if anchored:
-        start[LABELERS.index("checksum"), 1] = known
+    at_check = LABELERS.index("checksum")
+    # it never abstains on these kinds; room for that would let one class explain every span better
+    known = None if chance is None else np.array([[1 - chance, 1e-9, chance], [0.002, 1e-9, 0.998]])
+    if known is not None:
+        start[at_check] = known
     theta, prior = start.copy(), 0.5
     strength = max(2.0, 0.02 * n.sum())
     posterior = np.full(len(n), 0.5)
@@ -180,8 +182,8 @@ def expectation_maximisation(cast: np.ndarray, n: np.ndarray, rounds: int = 200,
             for v in range(3):
                 theta[:, y, v] = ((at == v) * mass[:, None]).sum(axis=0) + strength * start[:, y, v]
             theta[:, y] /= theta[:, y].sum(axis=1, keepdims=True)
-        if anchored:
-            theta[LABELERS.index("checksum"), 1] = known
+        if known is not None:
+            theta[at_check] = known
         prior = ((n * posterior).sum() + 1) / (n.sum() + 2)
     return prior, theta, posterior
 
@@ -217,7 +219,7 @@ def train(patterns: list[tuple[str, tuple[int, ...], int, int]]) -> Model | None
     for kind in KINDS:
         at = np.array([p[0] == kind for p in patterns])
         if at.any():
-            prior[kind], theta, target[at] = expectation_maximisation(np.array([p[1] for p in patterns])[at], n[at], anchored=kind in CHECKED)
+            prior[kind], theta, target[at] = expectation_maximisation(np.array([p[1] for p in patterns])[at], n[at], chance=CHECKED.get(kind))
             correct[kind] = np.stack([theta[:, 1, 2] / np.maximum(theta[:, 1, 2] + theta[:, 1, 0], 1e-12), theta[:, 0, 0] / np.maximum(theta[:, 0, 0] + theta[:, 0, 2], 1e-12)], axis=1)
     x = np.stack([_features(*p[:3]) for p in patterns])
     # kinds and votes meet in the posterior; their products keep the classifier as sharp
