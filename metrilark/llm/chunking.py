@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import bounded, cut
+from ._spark import bounded, cut, small
 
 MIN_BYTES, NORMAL_BYTES, MAX_BYTES = 64, 256, 1024
 #: Bits that have to be zero before and after NORMAL_BYTES; high bits, which depend on most of the window.
 STRICT, LOOSE = np.uint32(0b1111111111 << 22), np.uint32(0b111111 << 26)
+#: Share of a document from which ``fingerprints`` gives all its containers.
+LEAST = 0.5
 _GEAR = (B.mix(np.arange(256, dtype=np.uint64), 4) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -87,33 +89,83 @@ def chunk_digests(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(_chunk_batches, "doc_id long, digest long, bytes int")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def chunk_sets(docs: DataFrame) -> DataFrame:
+    """``chunk_digests`` with the rows of a doc_id made one set, written to the shared folder; only repeated doc_ids are shuffled for it."""
+    rows = cut(chunk_digests(docs).where("doc_id IS NOT NULL"))
+    again = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    n = again.count()
+    if not n:
+        return rows
+    again = small(again, 16, n)
+    merged = rows.join(again, "doc_id", "left_semi").groupBy("doc_id", "digest").agg(F.max("bytes").alias("bytes"))
+    return cut(rows.join(again, "doc_id", "left_anti").unionByName(merged))
+
+
+def _group_sets(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """``head, digest, bytes, df, holder``: the digests of each group that other groups have too, in how many they are, and the first other one."""
+    by_digest = Window.partitionBy("digest")
+    sets = shared.join(groups.select(F.col("head").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "head")
+    ranked = sets.withColumns({"df": F.count("*").over(by_digest), "at": F.row_number().over(by_digest.orderBy("head"))}).where("df > 1")
+    edges = {"first": F.min("head").over(by_digest), "second": F.min(F.when(F.col("at") == 2, F.col("head"))).over(by_digest)}
+    return ranked.withColumns(edges).select("head", "digest", "bytes", "df", F.when(F.col("at") == 1, F.col("second")).otherwise(F.col("first")).alias("holder"))
+
+
+def _group_pairs(sets: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """``head, other, common``: all pairs of groups where ``other`` has at least ``least`` of a document of ``head``, and for every group the one that is first in most of its digests."""
+    by_head = Window.partitionBy("head")
+    ordered = sets.join(groups.select("head", "least_bytes"), "head").withColumns({"all": F.sum("bytes").over(by_head), "upto": F.sum("bytes").over(by_head.orderBy("df", "digest"))})
+    prefix = ordered.where(F.col("upto") - F.col("bytes") <= F.col("all") - (least - 1e-12) * F.col("least_bytes"))
+    others = sets.select(F.col("head").alias("other"), "digest")
+    searched = prefix.select("head", "digest").join(others, "digest").where("head <> other").select("head", "other")
+    credit = sets.groupBy("head", "holder").agg(F.sum("bytes").alias("n")).groupBy("head").agg(F.max(F.struct("n", (-F.col("holder")).alias("less"))).alias("top"))
+    pairs = searched.unionByName(credit.select("head", (-F.col("top.less")).alias("other"))).distinct()
+    return pairs.join(sets.select("head", "digest", "bytes"), "head").join(others, ["other", "digest"]).groupBy("head", "other").agg(F.sum("bytes").alias("common"))
+
+
+def fingerprints(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The fingerprint of every document in ``docs(doc_id, text, ...)`` and its containment in the others.
 
     Returns ``doc_id, chunks, bytes, sketch, shared_bytes, containment, container_id,
-    container_share``: the number and the summed length of the distinct chunks, the
-    exclusive or of the digests, the length of those that another document has too and
-    its share, the document that first (by doc_id) holds most of the rest of its
-    chunks, and the exact share of its length that this one's set holds. Of several such
-    the smallest doc_id is taken; without a shared chunk it is null and its share 0.
+    container_share, group_id, containers``: the number and the summed length of the
+    distinct chunks, the exclusive or of the digests, the length of those that any other
+    document has too and its share, the document that holds most of it, with the exact
+    share of its length that this one's set holds, the smallest doc_id of its group, and
+    all groups with a share of at least ``least`` as ``array<struct<container_id, share>>``,
+    by falling share. Documents with the same shared chunks are a group, for whatever one holds of another
+    document all hold; a container stands for its group by the smallest doc_id that isn't the
+    document's own, so that the result stays linear in copies. All pairs are in there, as in
+    ``containment_pairs``: join ``container_id`` with the ``group_id`` of the documents.
+
+    From ``least`` on the container is the best of all, of several the one of the smallest
+    doc_id. Below, it is the best that was looked at, at least the group that is first in most of
+    the chunks; without a shared chunk it is null and its share 0.
+
+    Exact: a group is looked up by its rarest digests only, as many as any container must hold one of.
 
     Rows of one doc_id are one document with all their chunks. Rows without doc_id and
     null and empty texts have no fingerprint. Other columns are ignored. An empty table
     gives an empty result.
     """
-    sets = cut(chunk_digests(docs).where("doc_id IS NOT NULL").groupBy("doc_id", "digest").agg(F.max("bytes").alias("bytes")))
-    holders = sets.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("holders"))
-    # the second smallest holder stands in where a document is itself the first
-    ranked = sets.join(holders.where("holders > 1").select("digest", "first"), "digest")
-    second = ranked.where("doc_id <> first").groupBy("digest").agg(F.min("doc_id").alias("second"))
-    shared = ranked.join(second, "digest").select("doc_id", "bytes", F.when(F.col("doc_id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("holder"))
-    by_holder = shared.groupBy("doc_id", "holder").agg(F.sum("bytes").alias("first_bytes"))
-    best = cut(by_holder.groupBy("doc_id").agg(F.sum("first_bytes").alias("shared_bytes"), F.max(F.struct("first_bytes", (-F.col("holder")).alias("less"))).alias("top")).select("doc_id", "shared_bytes", (-F.col("top.less")).alias("container_id")))
-    common = sets.join(best.select("doc_id", "container_id"), "doc_id").join(sets.select(F.col("doc_id").alias("container_id"), "digest"), ["container_id", "digest"]).groupBy("doc_id").agg(F.sum("bytes").alias("common"))
+    sets = chunk_sets(docs)
+    shared = cut(sets.withColumn("df", F.count("*").over(Window.partitionBy("digest"))).where("df > 1").drop("df"))
     whole = sets.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"), F.bit_xor("digest").alias("sketch"))
-    out = whole.join(best, "doc_id", "left").join(common, "doc_id", "left")
-    share = lambda c: F.coalesce(F.col(c) / F.col("bytes"), F.lit(0.0))
-    return out.select("doc_id", "chunks", "bytes", "sketch", F.coalesce("shared_bytes", F.lit(0)).cast("long").alias("shared_bytes"), share("shared_bytes").alias("containment"), "container_id", share("common").alias("container_share"))
+    signature = ["s0", "s1", "shared"]
+    signed = shared.groupBy("doc_id").agg(F.bit_xor("digest").alias("s0"), F.bit_xor(F.xxhash64("digest")).alias("s1"), F.count("*").alias("shared"), F.sum("bytes").alias("shared_bytes"))
+    same = Window.partitionBy(*signature)
+    placed = whole.join(signed, "doc_id").withColumns({"head": F.min("doc_id").over(same), "at": F.row_number().over(same.orderBy("doc_id"))})
+    placed = cut(placed.withColumns({"second": F.min(F.when(F.col("at") == 2, F.col("doc_id"))).over(same), "least_bytes": F.min("bytes").over(same)}).drop(*signature, "at"))
+    groups = placed.where("doc_id = head").select("head", "least_bytes")
+    apart = cut(_group_sets(shared, groups))
+    others = _group_pairs(apart, groups, least).groupBy("head").agg(F.collect_list(F.struct((-F.col("common")).alias("less"), F.col("other").alias("id"))).alias("others"))
+    copy = F.when(F.col("doc_id") == F.col("head"), F.col("second")).otherwise(F.col("head"))
+    none = F.array().cast("array<struct<less:bigint,id:bigint>>")
+    own = F.when(copy.isNotNull(), F.array(F.struct((-F.col("shared_bytes")).alias("less"), copy.alias("id")))).otherwise(none)
+    holders = placed.join(others, "head", "left").select("doc_id", "shared_bytes", "head", F.array_sort(F.concat(own, F.coalesce("others", none))).alias("holders"))
+    out = whole.join(holders, "doc_id", "left")
+    share = lambda c: F.coalesce(c / F.col("bytes"), F.lit(0.0))
+    best = F.try_element_at("holders", F.lit(1))
+    pairs = F.transform(F.coalesce("holders", none), lambda h: F.struct(h["id"].alias("container_id"), (-h["less"] / F.col("bytes")).alias("share")))
+    return out.select("doc_id", "chunks", "bytes", "sketch", F.coalesce("shared_bytes", F.lit(0)).cast("long").alias("shared_bytes"), share(F.col("shared_bytes")).alias("containment"), best["id"].alias("container_id"), share(-best["less"]).alias("container_share"), F.coalesce("head", "doc_id").alias("group_id"), F.filter(pairs, lambda p: p["share"] >= least).alias("containers"))
 
 
 def containment_pairs(docs: DataFrame, least: float) -> DataFrame:

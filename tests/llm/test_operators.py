@@ -185,6 +185,29 @@ def test_containment_pairs_against_brute_force(spark):
     assert {(r["doc_id"], r["container_id"]) for r in chunking.containment_pairs(documents(spark, texts), 0.7).collect()} == wanted
 
 
+def test_fingerprints_give_all_containers(spark):
+    rng = random.Random(10)
+    part = [prose(rng, 1500) for _ in range(4)]
+    whole = part[0] + " " + part[1]
+    texts = [part[0], whole, whole, part[0] + " " + part[2], part[0], prose(rng, 900), part[3], part[3] + " " + part[1], part[2] + " " + part[0] + " " + part[3]]
+    docs = documents(spark, texts)
+    sets = {}
+    for r in chunking.chunk_digests(docs).collect():
+        sets.setdefault(r["doc_id"], {})[r["digest"]] = r["bytes"]
+    share = {(a, b): sum(v for d, v in sets[a].items() if d in sets[b]) / sum(sets[a].values()) for a, b in itertools.permutations(sets, 2)}
+    out = {r["doc_id"]: r for r in chunking.fingerprints(docs).collect()}
+    members = {}
+    for r in out.values():
+        members.setdefault(r["group_id"], []).append(r["doc_id"])
+    pairs = {(a, b): c["share"] for a, r in out.items() for c in r["containers"] for b in members[out[c["container_id"]]["group_id"]] if a != b}
+    assert pairs == pytest.approx({k: v for k, v in share.items() if v >= chunking.LEAST}) and len(pairs) > 12
+    for a, r in out.items():
+        best = max(v for k, v in share.items() if k[0] == a)
+        if best >= chunking.LEAST:
+            assert (r["container_id"], r["container_share"]) == (min(b for (x, b), v in share.items() if x == a and v == best), pytest.approx(best))
+    assert out[1]["container_id"] == 2 and out[2]["container_id"] == 1 and out[5]["container_id"] is None
+
+
 # --- 5 ---
 
 
