@@ -1,7 +1,7 @@
 """Document fingerprints from content-defined chunks (operator 4).
 
-A gear hash over the last 32 bytes is computed for every byte at once, by five
-doublings of shifted sums. Boundaries are normalised: from MIN_BYTES to NORMAL_BYTES
+A gear hash is computed for every byte at once, by doublings of shifted sums; the
+bits that are looked at depend on the last 16 bytes. Boundaries are normalised: from MIN_BYTES to NORMAL_BYTES
 after the last boundary a strict mask has to be zero, then, up to MAX_BYTES, a loose
 one. As boundaries depend on the bytes near them only, an insertion shifts them
 along and all chunks but those it touches keep their digests. The set of a document's
@@ -21,18 +21,19 @@ from pyspark.sql import functions as F
 from . import _bytes as B
 from ._spark import bounded, cut, small
 
-MIN_BYTES, NORMAL_BYTES, MAX_BYTES = 64, 256, 1024
-#: Bits that have to be zero before and after NORMAL_BYTES; high bits, which depend on most of the window.
-STRICT, LOOSE = np.uint32(0b1111111111 << 22), np.uint32(0b111111 << 26)
+#: Short against the passages to be found, for a passage is found only if a whole chunk lies within it.
+MIN_BYTES, NORMAL_BYTES, MAX_BYTES = 16, 32, 128
+#: Bits that have to be zero before and after NORMAL_BYTES; of the lowest 16, which depend on the last 16 bytes only.
+STRICT, LOOSE = np.uint32(0b111111 << 10), np.uint32(0b1111 << 12)
 #: Share of a document from which ``fingerprints`` gives all its containers.
 LEAST = 0.5
 _GEAR = (B.mix(np.arange(256, dtype=np.uint64), 4) >> np.uint64(32)).astype(np.uint32)
 
 
 def gear_hashes(flat: np.ndarray) -> np.ndarray:
-    """sum of GEAR[byte k back] << k over the 32 bytes that end at each position, modulo 2**32."""
+    """sum of GEAR[byte k back] << k over the bytes that end at each position: the lowest 16 bits, for which 16 bytes count."""
     h = _GEAR[flat]
-    for shift in (1, 2, 4, 8, 16):
+    for shift in (1, 2, 4, 8):
         h[shift:] = h[shift:] + (h[:-shift] << np.uint32(shift))
     return h
 
@@ -41,7 +42,7 @@ def boundaries(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """Starts, ends and rows of the chunks of each row, in order; an empty row has none.
 
     Hashes near the start of a row see bytes of the row before it, but no boundary can
-    lie within MIN_BYTES, twice the window, of it.
+    lie within MIN_BYTES, the window, of it.
     """
     h = gear_hashes(flat)
     loose = np.flatnonzero((h & LOOSE) == 0) + 1  # ends of chunks
@@ -90,15 +91,15 @@ def chunk_digests(docs: DataFrame) -> DataFrame:
 
 
 def chunk_sets(docs: DataFrame) -> DataFrame:
-    """``chunk_digests`` with the rows of a doc_id made one set, written to the shared folder; only repeated doc_ids are shuffled for it."""
-    rows = cut(chunk_digests(docs).where("doc_id IS NOT NULL"))
+    """``chunk_digests`` with the rows of a doc_id made one set; only repeated doc_ids are shuffled for it. Chunking again costs less than the disk for all digests."""
+    rows = chunk_digests(docs).where("doc_id IS NOT NULL")
     again = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     n = again.count()
     if not n:
         return rows
     again = small(again, 16, n)
     merged = rows.join(again, "doc_id", "left_semi").groupBy("doc_id", "digest").agg(F.max("bytes").alias("bytes"))
-    return cut(rows.join(again, "doc_id", "left_anti").unionByName(merged))
+    return rows.join(again, "doc_id", "left_anti").unionByName(merged)
 
 
 def _group_sets(shared: DataFrame, groups: DataFrame) -> DataFrame:
@@ -118,8 +119,13 @@ def _group_pairs(sets: DataFrame, groups: DataFrame, least: float) -> DataFrame:
     others = sets.select(F.col("head").alias("other"), "digest")
     searched = prefix.select("head", "digest").join(others, "digest").where("head <> other").select("head", "other")
     credit = sets.groupBy("head", "holder").agg(F.sum("bytes").alias("n")).groupBy("head").agg(F.max(F.struct("n", (-F.col("holder")).alias("less"))).alias("top"))
-    pairs = searched.unionByName(credit.select("head", (-F.col("top.less")).alias("other"))).distinct()
-    return pairs.join(sets.select("head", "digest", "bytes"), "head").join(others, ["other", "digest"]).groupBy("head", "other").agg(F.sum("bytes").alias("common"))
+    pairs = searched.unionByName(credit.select("head", (-F.col("top.less")).alias("other"))).select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b")).distinct()
+    # what is common is so both ways; a digest's lowest byte gives way to its chunk's length
+    packed = sets.groupBy("head").agg(F.collect_list(F.col("digest").bitwiseAND(F.lit(-256)).bitwiseOR(F.col("bytes").cast("long"))).alias("keys"))
+    side = lambda c: packed.select(F.col("head").alias(c), F.col("keys").alias(f"keys_{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.expr("aggregate(array_intersect(keys_a, keys_b), 0L, (n, key) -> n + (key & 255))").alias("common"))
+    both = F.array(F.struct(F.col("a").alias("head"), F.col("b").alias("other")), F.struct(F.col("b").alias("head"), F.col("a").alias("other")))
+    return met.select(F.explode(both).alias("way"), "common").select("way.head", "way.other", "common")
 
 
 def fingerprints(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -148,7 +154,7 @@ def fingerprints(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """
     sets = chunk_sets(docs)
     shared = cut(sets.withColumn("df", F.count("*").over(Window.partitionBy("digest"))).where("df > 1").drop("df"))
-    whole = sets.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"), F.bit_xor("digest").alias("sketch"))
+    whole = cut(sets.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"), F.bit_xor("digest").alias("sketch")))
     signature = ["s0", "s1", "shared"]
     signed = shared.groupBy("doc_id").agg(F.bit_xor("digest").alias("s0"), F.bit_xor(F.xxhash64("digest")).alias("s1"), F.count("*").alias("shared"), F.sum("bytes").alias("shared_bytes"))
     same = Window.partitionBy(*signature)

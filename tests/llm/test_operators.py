@@ -208,6 +208,17 @@ def test_fingerprints_give_all_containers(spark):
     assert out[1]["container_id"] == 2 and out[2]["container_id"] == 1 and out[5]["container_id"] is None
 
 
+def test_short_passages_and_edited_copies_share_chunks(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        passage, base = prose(rng, 50), prose(rng, 200).split()
+        texts += [f"{prose(rng, 100)} {passage} {prose(rng, 100)}", f"{prose(rng, 130)} {passage} {prose(rng, 70)}", " ".join(base), " ".join(rng.choice(WORDS) if k % 40 == 7 else w for k, w in enumerate(base))]
+    out = {r["doc_id"]: r for r in chunking.fingerprints(documents(spark, texts)).collect()}
+    assert sum(out[k]["container_id"] == k + 1 for k in range(0, 160, 4)) >= 36
+    assert sum(out[k + 3]["container_id"] == k + 2 and out[k + 3]["container_share"] > 0.3 for k in range(0, 160, 4)) >= 36
+
+
 # --- 5 ---
 
 
