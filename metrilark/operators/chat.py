@@ -47,10 +47,10 @@ def split_last_answer(messages: Column) -> tuple[Column, Column]:
     return F.when(answer, F.slice(messages, F.lit(1), F.size(messages) - 1)).otherwise(messages), F.when(answer, F.array(last["content"])).otherwise(F.array().cast("array<string>"))
 
 
-def rounds(conversations: DataFrame, generate: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame], most: int = 64) -> DataFrame:
+def rounds(conversations: DataFrame, generate: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Conversations ``row_id, messages`` with an answer in every slot: a pass of ``generate`` (adds ``answer``) a turn over those that still have one; ``cut`` writes each pass to the shared folder."""
     done, open_ = [], conversations
-    for _ in range(most):
+    while True:  # each pass fills a slot of every open conversation
         slotted = open_.withColumn("_slot", next_response_slot(F.col("messages")))
         done.append(slotted.where("_slot IS NULL").drop("_slot"))
         open_ = slotted.where("_slot IS NOT NULL")

@@ -142,6 +142,20 @@ def test_constraints(spark):
         assert values(spark, [text], check) == [wanted], (check, text)
 
 
+def test_rounds_keep_long_conversations(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from metrilark.operators import chat
+
+    def cut(df):
+        path = str(tmp_path / f"{len(list(tmp_path.iterdir()))}")
+        df.coalesce(1).write.parquet(path)
+        return spark.read.parquet(path)
+
+    df = spark.createDataFrame([(0, [("user", str(k)) for k in range(66)])], "row_id long, messages array<struct<role:string,content:string>>")
+    done = chat.rounds(df, lambda d: d.withColumn("answer", F.lit("a")), cut).collect()
+    assert [len(r["messages"]) for r in done] == [132]
+
+
 def test_chat(spark):
     def slot(*roles):
         df = spark.createDataFrame([([(r, "x") for r in roles],)], "m array<struct<role string, content string>>")
