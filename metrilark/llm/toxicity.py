@@ -1,25 +1,28 @@
 """Toxicity by nearest labelled examples (operator 9).
 
 Examples are a bounded sample of the labelled documents (``EXAMPLES`` of each
-class, in hash order), two thirds to search and one third to calibrate on. Terms
-are the words whose association with the label passes a chi-square test on the
-examples; their document frequencies are counted over the whole corpus. Every
-document is then a query: its exact cosine with the TF-IDF vectors of all
-examples is searched in an inverted index whose postings are cut into blocks with
-a largest weight per block and term. Blocks are visited by falling upper bound
-until none can still reach the k-th neighbour, so that the result is that of a
-full scan. The neighbours vote with weights by distance; an isotonic fit on the
-calibration part, weighted to the classes' shares among the labels, turns votes
-into probabilities.
+class, in hash order), two thirds to search and one third to calibrate on. Every
+word of the examples is a term; document frequencies are counted over the whole
+corpus. A term's weight grows smoothly with how much it tells of the label (the log-likelihood
+ratio of a word and a label in the searched examples), for with plain TF-IDF the
+topic decides who is near; no term is left out. Every document is then a query: its exact cosine with the TF-IDF vectors of
+all searched examples is looked for in an inverted index whose postings are cut into
+blocks of similar examples with a largest weight per block and term. A query first
+scores the block of the highest upper bound, then the next ones, and skips every block that can't
+reach its k-th neighbour any more, so that the result is that of a full scan. All
+queries that score a block do it together. The neighbours vote with weights by
+distance; an isotonic fit on the calibration part, weighted to the classes' shares
+among the labels, turns votes into probabilities.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +32,21 @@ from ._spark import bounded, cut
 
 #: Labelled documents of each class that are used at most; all statistics besides come from the whole corpus.
 EXAMPLES = 3000
-#: Least chi-square of a term (p of about 1e-6) and least number of examples that have it.
-CHI2, LEAST_DF = 24.0, 5
 NEIGHBOURS = 15
-BLOCK = 64
-#: Queries whose neighbours a worker keeps at hand.
-CACHED = 20_000
-_EPS = 1e-11
+#: Log-likelihood ratio that doubles a term's squared weight.
+GAIN = 10.0
+BLOCK = 128
+#: Terms in more than this share of the examples of a block, or of the blocks, have their row of weights written out.
+DENSE = 0.25
+#: Cosines are compared in steps of 2**-40.
+_STEP = 1 << 40
+_EPS = 1e-9
+_PLACES = 20
 #: Calibrated score from which a document is toxic.
 THRESHOLD = 0.5
+#: A doc_id that no example has, for rows without one.
+_NOBODY = -(1 << 63)
+EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.bool_())]))
 SCHEMA = "doc_id long, toxic_score double, toxic boolean, evidence array<struct<doc_id:long,similarity:double,toxic:boolean>>"
 
 
@@ -57,105 +66,149 @@ def term_counts(column: pa.Array, vocabulary: np.ndarray | None = None) -> tuple
     return rows[first], hashes[first], np.diff(np.append(first, len(rows)))
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each pair, one after another."""
+    return np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(int(counts.sum()))
+
+
+class Postings:
+    """A matrix of terms and columns that is sparse but for the rows of frequent terms."""
+
+    def __init__(self, term: np.ndarray, column: np.ndarray, value: np.ndarray, terms: int, columns: int):
+        order = np.lexsort((column, term))
+        has, size = np.unique(term, return_counts=True)
+        self.__setstate__((terms, columns, has.astype(np.int32), size.astype(np.int32), column[order].astype(np.int32), value[order]))
+
+    def __getstate__(self) -> tuple:
+        """What travels in the tasks; tables by term are written out there."""
+        return self.state
+
+    def __setstate__(self, state: tuple) -> None:
+        self.state = state
+        terms, self.columns, has, size, self.column, self.value = state
+        self.start = np.zeros(terms + 1, np.int32)
+        self.start[has + 1] = size
+        np.cumsum(self.start, out=self.start)
+        frequent = size > DENSE * self.columns
+        self.row = np.full(terms, -1, np.int32)
+        self.row[has[frequent]] = np.arange(frequent.sum())
+        self.dense = np.zeros((int(frequent.sum()), self.columns))
+        dense = self.row[np.repeat(has, size)]
+        self.dense[dense[dense >= 0], self.column[dense >= 0]] = self.value[dense >= 0]
+
+    def product(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int) -> np.ndarray:
+        """Queries times columns, for queries as (query, term, weight)."""
+        row = self.row[term]
+        dense = row >= 0
+        q = np.zeros((queries, len(self.dense)))
+        q[query[dense], row[dense]] = weight[dense]
+        out = q @ self.dense
+        query, term, weight = query[~dense], term[~dense], weight[~dense]
+        start = self.start[term].astype(np.int64)
+        size = self.start[term + 1] - start
+        at = _ranges(start, size)
+        cell = np.repeat(query * self.columns, size) + self.column[at]
+        return out + np.bincount(cell, np.repeat(weight, size) * self.value[at], queries * self.columns).reshape(out.shape)
+
+
+def similar_order(row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, terms: int) -> np.ndarray:
+    """The rows in an order in which similar ones are near each other: halved along the principal axis again and again, to blocks."""
+    rng = np.random.default_rng(7)
+    parts, done = [np.arange(rows)], []
+    member = np.full(rows, -1, np.int64)
+    while parts:
+        part = parts.pop()
+        if len(part) <= BLOCK:
+            done.append(part)
+            continue
+        member[part] = np.arange(len(part))
+        at = member[row] >= 0
+        r, t, w = member[row[at]], term[at], weight[at]
+        mean = np.bincount(t, w, terms) / len(part)
+        axis = rng.standard_normal(len(part))
+        for _ in range(12):
+            back = np.bincount(t, w * axis[r], terms) - mean * axis.sum()
+            axis = np.bincount(r, w * back[t], len(part)) - mean @ back
+            axis /= np.sqrt(axis @ axis) or 1.0
+        member[part] = -1
+        order = np.lexsort((part, axis))
+        half = -(-len(part) // (2 * BLOCK)) * BLOCK
+        parts += [part[order[half:]], part[order[:half]]]
+    return np.concatenate(done) if done else np.arange(0)
+
+
 @dataclass
 class BlockMaxIndex:
-    """TF-IDF vectors of unit length by term, with postings in blocks of BLOCK examples and the largest weight of each (term, block)."""
+    """TF-IDF vectors of unit length, in blocks of BLOCK similar examples with the largest weight of each (term, block). Examples are in the order of their ids, ``place`` has that of the blocks."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    start: np.ndarray  # [term, block] -> first posting; the last column is the end
-    example: np.ndarray
-    weight: np.ndarray
-    bound: np.ndarray  # [term, block]
-    cache: dict = field(default_factory=dict, repr=False)
+    place: np.ndarray
+    bound: Postings
+    blocks: list[Postings]
 
     @classmethod
     def build(cls, vocabulary: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> BlockMaxIndex:
         weight = (1 + np.log(count)) * idf[term]
         norm = np.sqrt(np.bincount(row, weight**2, len(ids)))
         weight = weight / np.where(norm, norm, 1)[row]
-        # Examples with the same heaviest term share blocks, which keeps the blocks' bounds close to their members.
-        heavy = np.zeros(len(ids), np.int64)
-        by_weight = np.argsort(weight, kind="stable")
-        heavy[row[by_weight]] = term[by_weight]
-        top = np.zeros(len(ids))
-        np.maximum.at(top, row, weight)
-        place = np.lexsort((ids, -np.round(top, 12), heavy))
-        ids, labels = ids[place], labels[place]
-        row = np.argsort(place)[row]
-        order = np.lexsort((row, term))
-        row, term, weight = row[order], term[order], weight[order]
-        blocks = max(1, -(-len(ids) // BLOCK))
-        key = term * blocks + row // BLOCK
-        start = np.searchsorted(key, np.arange(len(idf) * blocks)).reshape(len(idf), blocks)
-        end = np.append(start.ravel()[1:], len(key)).reshape(start.shape)[:, -1:]
-        bound = np.zeros(len(idf) * blocks)
-        np.maximum.at(bound, key, weight)
-        return cls(vocabulary, idf, ids, labels, np.hstack([start, end]), row, weight, bound.reshape(len(idf), blocks))
-
-    def queries(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, weight) of the unit vectors of texts."""
-        row, term, count = term_counts(column, self.vocabulary)
-        term = term.astype(np.int64)
-        weight = (1 + np.log(count)) * self.idf[term] if len(row) else np.zeros(0)
-        norm = np.sqrt(np.bincount(row, weight**2, len(column)))
-        return row, term, weight / np.where(norm, norm, 1)[row]
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples that share a term; ties go to the earlier position."""
-        bounds = weights @ self.bound[terms]
-        found, cosine, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            top = bounds[block]
-            if top <= 0 or top < kth - _EPS:
-                break
-            if top <= kth + _EPS and block * BLOCK > found[cosine <= kth + _EPS].max():
-                continue  # it could only tie with earlier ones
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                at = slice(self.start[t, block], self.start[t, block + 1])
-                score[self.example[at] - block * BLOCK] += w * self.weight[at]
-            inside = np.flatnonzero(score > max(0.0, kth - _EPS))
-            found, cosine = np.concatenate([found, inside + block * BLOCK]), np.concatenate([cosine, np.round(score[inside], 12)])
-            if len(found) >= k:
-                best = np.lexsort((found, -cosine))[:k]
-                found, cosine = found[best], cosine[best]
-                kth = cosine[-1]
-        best = np.lexsort((found, -cosine))
-        return found[best], cosine[best]
-
-    def nearest_but(self, terms: np.ndarray, weights: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """``nearest`` without the example of doc_id ``own``; equal queries are searched once."""
-        key = (terms.tobytes(), weights.tobytes())
-        got = self.cache.get(key)
-        if got is None:
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            got = self.cache[key] = self.nearest(terms, weights, k + 1)
-        keep = self.ids[got[0]] != own if own is not None else np.ones(len(got[0]), bool)
-        return got[0][keep][:k], got[1][keep][:k]
-
-    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of the votes for toxic: neighbours vote with weight cosine², and one clean vote of weight 1 is always there, so that distant ones can't decide."""
-        weight = np.minimum(cosine, 1) ** 2
-        return float((weight * self.labels[near]).sum() / (weight.sum() + 1))
-
-    def votes(self, column: pa.Array, own: list, k: int = NEIGHBOURS) -> tuple[np.ndarray, list]:
-        """The vote on each text and its neighbours; -1 and none for a text without a shared term."""
-        row, term, weight = self.queries(column)
-        out, evidence = np.full(len(column), -1.0), [None] * len(column)
-        if not len(row):
-            return out, evidence
-        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        for a, b in zip(first, np.append(first[1:], len(row))):
-            r = row[a]
-            near, cosine = self.nearest_but(term[a:b], weight[a:b], own[r], k)
-            if len(near):
-                out[r] = self.vote(near, cosine)
-                evidence[r] = [{"doc_id": int(self.ids[i]), "similarity": float(s), "toxic": bool(self.labels[i])} for i, s in zip(near, cosine)]
-        return out, evidence
+        place = similar_order(row, term, weight, len(ids), len(idf))
+        at = np.argsort(place)[row]
+        block = at // BLOCK
+        n = -(-len(ids) // BLOCK)
+        key, inverse = np.unique(term * n + block, return_inverse=True)
+        top = np.zeros(len(key))
+        np.maximum.at(top, inverse, weight)
+        by_block = [np.flatnonzero(block == b) for b in range(n)]
+        blocks = [Postings(term[k], at[k] - b * BLOCK, weight[k], len(idf), min(BLOCK, len(ids) - b * BLOCK)) for b, k in enumerate(by_block)]
+        return cls(vocabulary, idf, ids, labels, place, Postings(key // n, key % n, top, len(idf), n), blocks)
+
+    def weights(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
+        """The unit vectors of texts as (row, term, count)."""
+        weight = (1 + np.log(count)) * self.idf[term]
+        norm = np.sqrt(np.bincount(row, weight**2, rows)) if len(row) else np.ones(rows)
+        return weight / np.where(norm, norm, 1)[row]
+
+    def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the k nearest examples of each query that share a term, by falling cosine, then by position; position -1 where there are fewer."""
+        n = len(self.blocks)
+        bounds = self.bound.product(row, term, weight, rows)
+        # a key is the cosine in steps, then the position, such that of equal cosines the earlier position has the higher key
+        best = np.zeros((rows, k), np.int64)
+        open_ = bounds > 0
+        first = np.searchsorted(row, np.arange(rows + 1))
+        for reach in sorted({1, min(3, n), n}):
+            kth = (best[:, 0] >> _PLACES) / _STEP
+            open_ &= bounds >= kth[:, None] - _EPS
+            least = np.partition(np.where(open_, bounds, 0), n - reach, axis=1)[:, n - reach]
+            now = open_ & (bounds >= least[:, None])
+            for b in np.flatnonzero(now.any(axis=0)):
+                q = np.flatnonzero(now[:, b] & (bounds[:, b] >= (best[:, 0] >> _PLACES) / _STEP - _EPS))
+                size = first[q + 1] - first[q]
+                at = _ranges(first[q], size)
+                score = self.blocks[b].product(np.repeat(np.arange(len(q)), size), term[at], weight[at], len(q))
+                steps = np.rint(score * _STEP).astype(np.int64)
+                place = (1 << _PLACES) - 1 - self.place[b * BLOCK : b * BLOCK + score.shape[1]]
+                both = np.concatenate([best[q], np.where(steps > 0, (steps << _PLACES) | place, 0)], axis=1)
+                both.partition(both.shape[1] - k, axis=1)
+                best[q] = both[:, -k:]
+            open_ &= ~now
+        best.sort(axis=1)
+        best = best[:, ::-1]
+        return np.where(best > 0, (1 << _PLACES) - 1 - (best & ((1 << _PLACES) - 1)), -1), (best >> _PLACES) / _STEP
+
+    def votes(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, own: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(share of the votes for toxic, neighbours' positions or -1, cosines) of each text; the share is -1 without a neighbour. A neighbour votes with its cosine; the example of doc_id ``own`` isn't asked."""
+        rows = len(own)
+        near, cosine = self.nearest(row, term, self.weights(row, term, count, rows), rows, k + 1)
+        mine = (near >= 0) & (self.ids[near] == own[:, None])
+        order = np.argsort(mine, axis=1, kind="stable")[:, :k]  # the own example goes last, or else the one too many
+        near, cosine = np.take_along_axis(np.where(mine, -1, near), order, 1), np.take_along_axis(cosine, order, 1)
+        weight = np.where(near >= 0, cosine, 0)
+        total = weight.sum(axis=1)
+        return np.where(total > 0, (weight * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), -1.0), near, cosine
 
 
 @dataclass
@@ -168,11 +221,18 @@ class Model:
         """Which scores mean toxic; none without an index, for the labels' share alone says nothing about a document."""
         return scores >= THRESHOLD if self.index is not None else np.zeros(len(scores), bool)
 
-    def score(self, column: pa.Array, own: list) -> tuple[np.ndarray, list]:
+    def score(self, column: pa.Array, own: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The score of each text and its neighbours."""
         if self.index is None:
-            return np.full(len(column), float(self.values[0])), [None] * len(column)
-        votes, evidence = self.index.votes(column, own)
-        return calibrate.apply(self.knots, self.values, votes), evidence
+            return np.full(len(column), float(self.values[0])), pa.array([[]] * len(column), EVIDENCE)
+        index = self.index
+        row, term, count = term_counts(column, index.vocabulary)
+        ids = pc.fill_null(own.cast(pa.int64()), _NOBODY).to_numpy(zero_copy_only=False)
+        votes, near, cosine = index.votes(row, term.astype(np.int64), count, ids)
+        has = near >= 0
+        flat = near[has]
+        items = pa.StructArray.from_arrays([pa.array(index.ids[flat]), pa.array(cosine[has]), pa.array(index.labels[flat] == 1)], names=["doc_id", "similarity", "toxic"])
+        return calibrate.apply(self.knots, self.values, votes), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has.sum(axis=1)))), pa.int32()), items)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -202,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     Labels that are null or neither 0 nor 1 are left out; of several for a doc_id
     the largest counts. Of several rows with a doc_id that is sampled the one with
     the smallest text counts. Without labelled documents of both classes, or without a
-    term that passes the test, every document gets the labels' share of toxic (0 without labels) and none is called toxic.
+    word in them, every document gets the labels' share of toxic (0 without labels) and none is called toxic.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     shares = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -219,41 +279,44 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     toxic, clean = counts.get((False, 1), 0), counts.get((False, 0), 0)
     if not toxic or not clean:
         return flat
-    a, c = F.col("a"), F.col("c")
-    b, d, n = F.lit(toxic) - a, F.lit(clean) - c, toxic + clean
-    chi2 = F.lit(float(n)) * F.pow(a * d - b * c, 2) / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1.0))
-    tested = terms.where("NOT held").groupBy("term").agg(F.sum(F.col("label").cast("double")).alias("a"), F.sum((1 - F.col("label")).cast("double")).alias("c"))
-    passed = tested.where((a + c >= LEAST_DF) & (chi2 > CHI2)).select("term")
-    vocabulary = np.sort(np.array([r["term"] for r in passed.collect()], np.int64).view(np.uint64))
+    vocabulary = np.sort(terms.where("NOT held").select("term").distinct().toPandas()["term"].to_numpy(np.int64).view(np.uint64))
     if not len(vocabulary):
         return flat
-    seen = _plain(docs).select("text").mapInArrow(lambda it: _document_frequencies(it, vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    frequency = {r["term"]: r["n"] for r in seen}
-    df = np.array([max(1, frequency.get(k, 0)) for k in range(len(vocabulary))])
-    idf = np.log((1 + frequency[-1]) / df)
-    rows = terms.join(F.broadcast(passed), "term").orderBy("doc_id", "term").toPandas()
+    seen = _plain(docs).select("text").mapInArrow(lambda it: _document_frequencies(it, vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(len(vocabulary) + 1, np.int64)  # the last is the number of documents
+    frequency[seen["term"].to_numpy(np.int64)] = seen["n"]
+    idf = np.log((1 + frequency[-1]) / np.maximum(1, frequency[:-1]))
+    rows = terms.toPandas().sort_values(["doc_id", "term"])
     ids, row = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
     label, held = np.zeros(len(ids)), np.zeros(len(ids), bool)
     label[row], held[row] = rows["label"], rows["held"]
-    term = np.searchsorted(vocabulary, rows["term"].to_numpy().view(np.uint64))
-    count = rows["n"].to_numpy()
+    hashes = rows["term"].to_numpy(np.int64).view(np.uint64)
+    term = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    known = vocabulary[term] == hashes
+    row, term, count = row[known], term[known], rows["n"].to_numpy()[known]
     keep = ~held[row]
-    position = np.cumsum(~held) - 1
-    index = BlockMaxIndex.build(vocabulary, idf, ids[~held], label[~held], position[row[keep]], term[keep], count[keep])
-    return _calibrated(index, ids, label, held, row, term, count, counts, shares)
-
-
-def _calibrated(index, ids, label, held, row, term, count, counts, shares) -> Model:
-    votes, targets = [], []
-    for r in np.flatnonzero(held):
-        at = row == r
-        weight = (1 + np.log(count[at])) * index.idf[term[at]]
-        near, cosine = index.nearest(term[at], weight / np.sqrt((weight**2).sum()), NEIGHBOURS)
-        if len(near):
-            votes.append(index.vote(near, cosine))
-            targets.append(label[r])
-    votes, targets = np.array(votes), np.array(targets)
-    # Held documents without a term have no votes; they are the pool at -1.
+    idf = idf * np.sqrt(1 + likelihood_ratio(term[keep], label[row[keep]] == 1, len(vocabulary), toxic, clean) / GAIN)
+    index = BlockMaxIndex.build(vocabulary, idf, ids[~held], label[~held], (np.cumsum(~held) - 1)[row[keep]], term[keep], count[keep])
+    asked = np.cumsum(held) - 1
+    order = np.lexsort((term[~keep], asked[row[~keep]]))
+    votes, _, _ = index.votes(asked[row[~keep]][order], term[~keep][order], count[~keep][order], ids[held])
+    return _calibrated(index, votes, label[held], counts, shares)
+
+
+def likelihood_ratio(term: np.ndarray, toxic: np.ndarray, terms: int, n_toxic: int, n_clean: int) -> np.ndarray:
+    """G of the 2 x 2 table of each term and the label; ``term`` has each example's distinct terms, ``toxic`` the examples' labels."""
+    out = np.zeros(terms)
+    total = n_toxic + n_clean
+    has = [np.bincount(term[toxic == y], minlength=terms) for y in (False, True)]
+    both = has[0] + has[1]
+    for y, n in ((0, n_clean), (1, n_toxic)):
+        for seen, of in ((has[y], both), (n - has[y], total - both)):
+            out += 2 * seen * np.log(np.maximum(seen, 1e-300) * total / np.maximum(of * n, 1))
+    return np.maximum(out, 0)
+
+
+def _calibrated(index: BlockMaxIndex, votes: np.ndarray, targets: np.ndarray, counts: dict, shares: dict) -> Model:
+    # Held documents without a word have no votes either; they are in the pool at -1.
     for y in (0, 1):
         without = counts.get((True, y), 0) - int((targets == y).sum())
         votes, targets = np.append(votes, np.full(without, -1.0)), np.append(targets, np.full(without, float(y)))
@@ -262,18 +325,13 @@ def _calibrated(index, ids, label, held, row, term, count, counts, shares) -> Mo
     return Model(index, knots, values)
 
 
-def _own(column: pa.Array) -> list:
-    return column.to_pylist()
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, toxic_score, toxic, evidence`` for every row; see ``toxicity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in B.pieces(batches):
-            scores, evidence = model.score(piece.column("text"), _own(piece.column("doc_id")))
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scores), pa.array(model.toxic(scores)), pa.array([e or [] for e in evidence], kind)], names=["doc_id", "toxic_score", "toxic", "evidence"])
+            scores, evidence = model.score(piece.column("text"), piece.column("doc_id"))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scores), pa.array(model.toxic(scores)), evidence], names=["doc_id", "toxic_score", "toxic", "evidence"])
 
     return _plain(docs).mapInArrow(run, SCHEMA)
 
@@ -281,9 +339,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """Calibrated toxicity of every row of ``docs(doc_id, text, ...)``, with its neighbours as evidence.
 
-    A labelled document is never its own neighbour. Null, empty and wordless texts
+    ``evidence`` has its NEIGHBOURS nearest examples by falling cosine, of equal ones
+    the smaller doc_id first. Only the words of the examples count, with frequencies
+    over all of ``docs``. A labelled document is never its own neighbour. Null, empty and wordless texts
     share no term with an example and get the score of documents without
-    evidence. Repeated rows get a row each; null doc_ids are scored too. Other columns
+    evidence. A text of any length is one query, over all its words. Repeated rows get a row each; null doc_ids are scored too. Other columns
     are ignored. An empty table gives an empty result.
     """
     return score(docs, fit(docs, labels, examples))
@@ -295,7 +355,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in B.pieces(batches):
-            scores, _ = model.score(piece.column("text"), _own(piece.column("doc_id")))
+            scores, _ = model.score(piece.column("text"), piece.column("doc_id"))
             yield piece.filter(pa.array(~model.toxic(scores)))
 
     return bounded(docs).mapInArrow(run, docs.schema)

@@ -338,12 +338,65 @@ def test_neighbours_are_exact():
     dense = np.zeros((300, len(vocabulary)))
     dense[row, term.astype(np.int64)] = (1 + np.log(count)) * idf[term.astype(np.int64)]
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
-    for text in texts[:40]:
-        r, t, w = index.queries(pa.array([text]))
-        near, cosine = index.nearest(t, w, 10)
-        q = np.zeros(len(vocabulary))
-        q[t] = w
-        assert np.allclose(np.sort(cosine)[::-1], np.sort(dense @ q)[::-1][:10])
+    asked = texts[:40] + [texts[3] + " " + texts[4], "", "unknown"]
+    for size in (300, 40, 1):  # some queries alone, some together
+        for at in range(0, len(asked), size):
+            some = asked[at : at + size]
+            r, t, n = toxicity.term_counts(pa.array(some), vocabulary)
+            w = index.weights(r, t.astype(np.int64), n, len(some))
+            near, cosine = index.nearest(r, t.astype(np.int64), w, len(some), 10)
+            q = np.zeros((len(some), len(vocabulary)))
+            q[r, t.astype(np.int64)] = w
+            full = np.round(q @ dense.T, 10)
+            for k in range(len(some)):
+                wanted = [i for i in np.lexsort((np.arange(300), -full[k]))[:10] if full[k, i] > 0]
+                assert near[k][near[k] >= 0].tolist() == wanted and np.allclose(cosine[k][: len(wanted)], full[k, wanted])
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(18)
+    bad = ["vilk", "snarf", "grolt", "drozz"]
+    texts = [prose(rng, rng.randint(3, 25)) + (" " + " ".join(rng.choices(bad, k=3)) if k % 3 == 0 else "") for k in range(240)]
+    texts[5:10], texts[50], texts[200] = [texts[6]] * 5, "", None  # ties between copies
+    toxic = {k: int((k % 3 == 0) != (k % 17 == 0)) for k in range(180)}
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    split = labels.select("doc_id", (F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(3)) == 0).alias("held")).collect()
+    held, searched = [r["doc_id"] for r in split if r["held"]], sorted(r["doc_id"] for r in split if not r["held"])
+    words = [(t or "").split() for t in texts]
+    vocabulary = {w for d in searched for w in words[d]}
+    df = {w: sum(w in ws for ws in words) for w in vocabulary}
+    asked_of = [d for d in searched if texts[d]]
+
+    def ratio(w):
+        cells = [[sum((w in words[d]) == has and toxic[d] == y for d in asked_of) for y in (0, 1)] for has in (True, False)]
+        return 2 * sum(n * np.log(n * len(asked_of) / (sum(row) * sum(r[y] for r in cells))) for row in cells for y, n in enumerate(row) if n)
+
+    gain = {w: (1 + ratio(w) / toxicity.GAIN) ** 0.5 for w in vocabulary}
+
+    def vector(d):
+        v = {w: (1 + np.log(words[d].count(w))) * np.log((1 + len(texts)) / df[w]) * gain[w] for w in set(words[d]) & vocabulary}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = [vector(d) for d in range(len(texts))]
+
+    def ask(d):
+        cosines = [(round(sum(x * vectors[e].get(w, 0) for w, x in vectors[d].items()), 10), -e) for e in searched if e != d]
+        near = [(-e, c) for c, e in sorted(cosines, reverse=True)[: toxicity.NEIGHBOURS] if c > 0]
+        return near, sum(c * toxic[e] for e, c in near) / sum(c for _, c in near) if near else -1.0
+
+    asked = [(ask(d)[1], toxic[d]) for d in held]
+    share = {y: sum(v == y for v in toxic.values()) / sum(y == t for _, t in asked) for y in (0, 1)}
+    knots = sorted({v for v, _ in asked})
+    mean = lambda i, j: (lambda w: sum(a * b for a, b in w) / sum(a for a, _ in w))([(share[t], t) for v, t in asked if knots[i] <= v <= knots[j]])
+    fit = [max(min(mean(i, j) for j in range(k, len(knots))) for i in range(k + 1)) for k in range(len(knots))]
+    out = {r["doc_id"]: r for r in toxicity.toxicity(documents(spark, texts), labels).collect()}
+    for d in range(len(texts)):
+        near, vote = ask(d)
+        assert [(e["doc_id"], round(e["similarity"], 9), e["toxic"]) for e in out[d]["evidence"]] == [(e, pytest.approx(c, abs=2e-9), toxic[e] == 1) for e, c in near]
+        score = np.interp(vote, knots, fit)
+        assert out[d]["toxic_score"] == pytest.approx(score, abs=1e-6) and out[d]["toxic"] == (out[d]["toxic_score"] >= toxicity.THRESHOLD)
+    assert {e["doc_id"] for e in out[6]["evidence"]} >= {x for x in range(5, 10) if x in searched and x != 6}
 
 
 def test_toxicity_held_out(spark):
