@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from . import calibrate
-from ._spark import bounded, cut
+from ._spark import bounded
 
 #: Labelled documents of each class that are used at most; all statistics besides come from the whole corpus.
 EXAMPLES = 3000
@@ -42,6 +42,8 @@ DENSE = 0.25
 _STEP = 1 << 40
 _EPS = 1e-9
 _PLACES = 20
+#: Terms of queries that are searched together.
+_TOGETHER = 1 << 15
 #: Calibrated score from which a document is toxic.
 THRESHOLD = 0.5
 #: A doc_id that no example has, for rows without one.
@@ -202,7 +204,15 @@ class BlockMaxIndex:
     def votes(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, own: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(share of the votes for toxic, neighbours' positions or -1, cosines) of each text; the share is -1 without a neighbour. A neighbour votes with its cosine; the example of doc_id ``own`` isn't asked."""
         rows = len(own)
-        near, cosine = self.nearest(row, term, self.weights(row, term, count, rows), rows, k + 1)
+        weight = self.weights(row, term, count, rows)
+        near, cosine = np.full((rows, k + 1), -1, np.int64), np.zeros((rows, k + 1))
+        first = np.searchsorted(row, np.arange(rows + 1))
+        at = 0
+        while at < rows:
+            to = max(at + 1, int(np.searchsorted(first, first[at] + _TOGETHER, side="right")) - 1)
+            some = slice(first[at], first[to])
+            near[at:to], cosine[at:to] = self.nearest(row[some] - at, term[some], weight[some], to - at, k + 1)
+            at = to
         mine = (near >= 0) & (self.ids[near] == own[:, None])
         order = np.argsort(mine, axis=1, kind="stable")[:, :k]  # the own example goes last, or else the one too many
         near, cosine = np.take_along_axis(np.where(mine, -1, near), order, 1), np.take_along_axis(cosine, order, 1)
@@ -242,8 +252,9 @@ def _plain(docs: DataFrame) -> DataFrame:
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in B.pieces(batches):
         row, term, count = term_counts(piece.column("text"))
-        take = pa.array(row)
-        yield pa.RecordBatch.from_arrays([*(piece.column(c).take(take) for c in ("doc_id", "label", "held")), pa.array(term.view(np.int64)), pa.array(count.astype(np.int32))], names=["doc_id", "label", "held", "term", "n"])
+        offsets = pa.array(np.searchsorted(row, np.arange(piece.num_rows + 1)), pa.int32())
+        columns = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (term.view(np.int64), count.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "label", "held")), *columns], names=["doc_id", "label", "held", "terms", "counts"])
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -274,33 +285,29 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     sample = labels.where("label = 1").orderBy(*order).limit(examples).unionByName(labels.where("label = 0").orderBy(*order).limit(examples))
     sample = sample.withColumn("held", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(3)) == 0)
     chosen = _plain(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("held").alias("held")).where("text IS NOT NULL")
-    terms = cut(chosen.mapInArrow(_example_terms, "doc_id long, label int, held boolean, term long, n int"))
-    counts = {(r["held"], r["label"]): r["n"] for r in terms.groupBy("held", "label").agg(F.count_distinct("doc_id").alias("n")).collect()}
-    toxic, clean = counts.get((False, 1), 0), counts.get((False, 0), 0)
+    rows = chosen.mapInArrow(_example_terms, "doc_id long, label int, held boolean, terms array<long>, counts array<int>").where("size(terms) > 0").toArrow().sort_by("doc_id")
+    ids, label, held = (rows.column(c).to_numpy() for c in ("doc_id", "label", "held"))
+    label, held = label.astype(float), held.astype(bool)
+    row = np.repeat(np.arange(len(ids)), pc.list_value_length(rows.column("terms")).to_numpy())
+    hashes, count = pc.list_flatten(rows.column("terms")).to_numpy().view(np.uint64), pc.list_flatten(rows.column("counts")).to_numpy()
+    toxic, clean = int((label[~held] == 1).sum()), int((label[~held] == 0).sum())
     if not toxic or not clean:
         return flat
-    vocabulary = np.sort(terms.where("NOT held").select("term").distinct().toPandas()["term"].to_numpy(np.int64).view(np.uint64))
-    if not len(vocabulary):
-        return flat
-    seen = _plain(docs).select("text").mapInArrow(lambda it: _document_frequencies(it, vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    vocabulary = np.unique(hashes[~held[row]])
+    seen = _plain(docs).select("text").mapInArrow(lambda it: _document_frequencies(it, vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(len(vocabulary) + 1, np.int64)  # the last is the number of documents
-    frequency[seen["term"].to_numpy(np.int64)] = seen["n"]
+    frequency[seen.column("term").to_numpy()] = seen.column("n").to_numpy()
     idf = np.log((1 + frequency[-1]) / np.maximum(1, frequency[:-1]))
-    rows = terms.toPandas().sort_values(["doc_id", "term"])
-    ids, row = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
-    label, held = np.zeros(len(ids)), np.zeros(len(ids), bool)
-    label[row], held[row] = rows["label"], rows["held"]
-    hashes = rows["term"].to_numpy(np.int64).view(np.uint64)
     term = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
     known = vocabulary[term] == hashes
-    row, term, count = row[known], term[known], rows["n"].to_numpy()[known]
+    row, term, count = row[known], term[known], count[known]
     keep = ~held[row]
     idf = idf * np.sqrt(1 + likelihood_ratio(term[keep], label[row[keep]] == 1, len(vocabulary), toxic, clean) / GAIN)
     index = BlockMaxIndex.build(vocabulary, idf, ids[~held], label[~held], (np.cumsum(~held) - 1)[row[keep]], term[keep], count[keep])
-    asked = np.cumsum(held) - 1
-    order = np.lexsort((term[~keep], asked[row[~keep]]))
-    votes, _, _ = index.votes(asked[row[~keep]][order], term[~keep][order], count[~keep][order], ids[held])
-    return _calibrated(index, votes, label[held], counts, shares)
+    votes, _, _ = index.votes((np.cumsum(held) - 1)[row[~keep]], term[~keep], count[~keep], ids[held])
+    targets = label[held]
+    per_class = [shares[y] / max(1, int((targets == y).sum())) for y in (0, 1)]
+    return Model(index, *calibrate.isotonic(votes, targets, np.where(targets == 1, per_class[1], per_class[0])))
 
 
 def likelihood_ratio(term: np.ndarray, toxic: np.ndarray, terms: int, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -315,16 +322,6 @@ def likelihood_ratio(term: np.ndarray, toxic: np.ndarray, terms: int, n_toxic: i
     return np.maximum(out, 0)
 
 
-def _calibrated(index: BlockMaxIndex, votes: np.ndarray, targets: np.ndarray, counts: dict, shares: dict) -> Model:
-    # Held documents without a word have no votes either; they are in the pool at -1.
-    for y in (0, 1):
-        without = counts.get((True, y), 0) - int((targets == y).sum())
-        votes, targets = np.append(votes, np.full(without, -1.0)), np.append(targets, np.full(without, float(y)))
-    per_class = [shares[y] / max(1, int((targets == y).sum())) for y in (0, 1)]
-    knots, values = calibrate.isotonic(votes, targets, np.where(targets == 1, per_class[1], per_class[0]))
-    return Model(index, knots, values)
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, toxic_score, toxic, evidence`` for every row; see ``toxicity``."""
 
