@@ -190,24 +190,22 @@ def rouge(output: Sequence[str], reference: Sequence[str]) -> tuple[float, float
     return parts[0], parts[1], score(len(union), len(set(mine)), len(set(other)))
 
 
-def kendall(x: np.ndarray, y: np.ndarray) -> float:
-    """tau-b, by counting inversions in a merge sort."""
-    n = len(x)
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    ties = lambda v: sum(k * (k - 1) // 2 for k in Counter(v).values())
-    both, in_x, in_y, swaps = ties(list(zip(x.tolist(), y.tolist()))), ties(x.tolist()), ties(y.tolist()), 0
-    width, values = 1, y.copy()
-    while width < n:
-        for low in range(0, n - width, 2 * width):
-            left, right = values[low : low + width], values[low + width : low + 2 * width]
-            swaps += int((len(left) - np.searchsorted(left, right, side="right")).sum())
-            values[low : low + 2 * width] = np.sort(values[low : low + 2 * width], kind="stable")
-        width *= 2
-    pairs = n * (n - 1) // 2
-    if pairs in (in_x, in_y):
-        return math.nan
-    return (pairs - in_x - in_y + both - 2 * swaps) / math.sqrt((pairs - in_x) * (pairs - in_y))
+def inversions(values: np.ndarray, weights: np.ndarray) -> int:
+    """Sum of the products of the weights of all pairs of which the earlier has the larger value, bit by bit of the values' ranks."""
+    distinct, rank = np.unique(values, return_inverse=True)
+    weights = weights.astype(np.int64)
+    total = 0
+    for bit in range(int(len(distinct) - 1).bit_length() if len(distinct) else 0):
+        key = rank >> (bit + 1)
+        order = np.argsort(key, kind="stable")
+        one = (rank[order] >> bit) & 1
+        w = weights[order]
+        before = np.cumsum(w * one)
+        start = np.searchsorted(key[order], key[order])
+        earlier = before - np.where(start > 0, before[start - 1], 0)
+        total += int((earlier * w * (1 - one)).sum())
+    return total
+
 
 
 _BOXED = re.compile(r"\\boxed\s*\{")

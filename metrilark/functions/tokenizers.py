@@ -65,8 +65,23 @@ def morphemes(text: Column) -> Column:
     raise NotAvailable("a morphological analyser isn't installed; pass a pandas UDF that returns array<string>")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often it is used: it becomes a variable of a function over an array of one."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of ``n`` tokens; none if there are fewer."""
+    return once(tokens, lambda t: _ngrams(t, n))
+
+
+def written_ngrams(tokens: Column, n: int) -> Column:
+    """The n-grams as texts, each token after its length, so that different ones are different texts, which can be hashed."""
+    written = F.transform(tokens, lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t))
+    return once(written, lambda w: F.transform(_ngrams(w, n), lambda g: F.array_join(g, "")))
+
+
+def _ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
 
 

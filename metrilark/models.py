@@ -1,13 +1,14 @@
-"""The seam to models: adapters that add answers or log-probabilities to a DataFrame, and deterministic stubs."""
+"""The seam to models: adapters that add answers or log-probabilities to a DataFrame, a client of HTTP servers, and deterministic stubs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .functions.tokenizers import NotAvailable
 
@@ -16,31 +17,154 @@ class Adapter(Protocol):
     def complete(self, rows: DataFrame, prompt: str) -> DataFrame:
         """``rows`` with ``lm_output`` and ``finish_reason`` for the text column ``prompt``."""
 
+    def chat(self, rows: DataFrame, messages: str = "messages", tools: str | None = None) -> DataFrame:
+        """``rows`` with ``lm_output`` and ``finish_reason`` for conversations, array<struct<role, content, ...>>."""
+
     def log_probs(self, rows: DataFrame, text: str, prefix: str) -> DataFrame:
         """``rows`` with ``log_prob`` of ``text`` after ``prefix``."""
 
 
-class BatchAdapter:
-    """An adapter around ``make()``, a function without arguments that opens a client in each Python worker and returns ``prompts -> (texts, finish reasons)``."""
+class Client(Protocol):
+    """What a worker opens; each method answers a batch, in its order."""
+
+    def complete(self, prompts: list[str], seed: int | None) -> list[tuple[str, str]]: ...
+
+    def chat(self, conversations: list[list[dict]], tools: list[str | None], seed: int | None) -> list[tuple[str, str]]: ...
+
+    def log_probs(self, texts: list[str], prefixes: list[str]) -> list[float]: ...
+
+
+def mapped(rows: DataFrame, added: dict[str, str], make: Callable[[], Callable[[pd.DataFrame], dict[str, Sequence]]]) -> DataFrame:
+    """``rows`` with the columns ``added`` (name -> type) that the function opened by ``make()`` in each worker gives for a batch; columns of these names are replaced."""
+    kept = rows.drop(*added)
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL(", ".join(f"`{k}` {t}" for k, t in added.items())).fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        answer = make()
+        for b in batches:
+            yield b.assign(**answer(b))
+
+    return kept.mapInPandas(run, schema)
 
-    def __init__(self, make: Callable[[], Callable[[list[str]], tuple[list[str], list[str]]]]):
-        self.make = make
+
+class BatchAdapter:
+    """An adapter around ``make()``, which opens a ``Client`` in each worker.
+
+    At most ``batch`` rows go into a request, the shorter texts of an Arrow batch first, so that a request has texts of about one length. A
+    request that raises is repeated ``retries`` times after ``wait`` seconds, doubled each time up to ``longest``; then its rows get an empty
+    output and the reason "empty". Log-probabilities are never made up: there the last error is raised.
+    """
+
+    def __init__(self, make: Callable[[], Client], batch: int = 32, retries: int = 5, wait: float = 1.0, longest: float = 80.0, seed: int | None = None):
+        self.make, self.batch, self.retries, self.wait, self.longest, self.seed = make, batch, retries, wait, longest, seed
+
+    def _answers(self, call: Callable[..., list], sizes: list[int], *columns: list, empty: object = None) -> list:
+        import time
+
+        out: list = [empty] * len(sizes)
+        order = sorted(range(len(sizes)), key=sizes.__getitem__)
+        for k in range(0, len(order), self.batch):
+            at = order[k : k + self.batch]
+            for attempt in range(self.retries + 1):
+                try:
+                    got = call(*[[c[i] for i in at] for c in columns])
+                    if len(got) != len(at):
+                        raise ValueError(f"{len(got)} answers to {len(at)} requests")
+                    for i, g in zip(at, got):
+                        out[i] = g
+                    break
+                except Exception:
+                    if attempt == self.retries:
+                        if empty is None:
+                            raise
+                    else:
+                        time.sleep(min(self.wait * 2**attempt, self.longest))
+        return out
 
     def complete(self, rows: DataFrame, prompt: str) -> DataFrame:
-        make = self.make
+        def make():
+            client = self.make()
+
+            def answer(b: pd.DataFrame) -> dict:
+                prompts = [p or "" for p in b[prompt]]
+                got = self._answers(lambda p: client.complete(p, self.seed), [len(p) for p in prompts], prompts, empty=("", "empty"))
+                return {"lm_output": [t for t, _ in got], "finish_reason": [r for _, r in got]}
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-            client = make()
-            for b in batches:
-                texts, reasons = client(b[prompt].tolist())
-                yield b.assign(lm_output=texts, finish_reason=reasons)
+            return answer
 
-        schema = rows.schema.add("lm_output", "string").add("finish_reason", "string")
-        return rows.mapInPandas(run, schema)
+        return mapped(rows, {"lm_output": "string", "finish_reason": "string"}, make)
 
     def complete_distinct(self, rows: DataFrame, prompt: str) -> DataFrame:
-        """The same with one request for each distinct prompt."""
-        return rows.join(self.complete(rows.select(prompt).distinct(), prompt), prompt)
+        """The same with one request for each distinct prompt; null is a prompt too."""
+        asked = self.complete(rows.select(F.col(prompt).alias("_asked")).distinct(), "_asked")
+        return rows.drop("lm_output", "finish_reason").join(asked, rows[prompt].eqNullSafe(asked["_asked"])).drop("_asked")
+
+    def chat(self, rows: DataFrame, messages: str = "messages", tools: str | None = None) -> DataFrame:
+        tagged = rows.withColumns({"_messages": F.to_json(messages), "_tools": F.col(tools).cast("string") if tools else F.lit(None).cast("string")})
+
+        def make():
+            client = self.make()
+
+            def answer(b: pd.DataFrame) -> dict:
+                import json
+
+                talks = [json.loads(m) if m else [] for m in b["_messages"]]
+                got = self._answers(lambda m, t: client.chat(m, t, self.seed), [len(m or "") for m in b["_messages"]], talks, [t if isinstance(t, str) else None for t in b["_tools"]], empty=("", "empty"))
+                return {"lm_output": [t for t, _ in got], "finish_reason": [r for _, r in got]}
+
+            return answer
+
+        return mapped(tagged, {"lm_output": "string", "finish_reason": "string"}, make).drop("_messages", "_tools")
+
+    def log_probs(self, rows: DataFrame, text: str, prefix: str) -> DataFrame:
+        def make():
+            client = self.make()
+
+            def answer(b: pd.DataFrame) -> dict:
+                texts, prefixes = [t or "" for t in b[text]], [p or "" for p in b[prefix]]
+                return {"log_prob": self._answers(client.log_probs, [len(t) + len(p) for t, p in zip(texts, prefixes)], texts, prefixes)}
+
+            return answer
+
+        return mapped(rows, {"log_prob": "double"}, make)
+
+
+class HttpClient:
+    """A client of a server with the widespread ``/chat/completions`` and ``/completions`` routes under ``base``. ``options`` go into every request."""
+
+    def __init__(self, base: str, model: str, key: str | None = None, timeout: float = 120.0, threads: int = 8, **options: object):
+        self.base, self.model, self.key, self.timeout, self.threads, self.options = base.rstrip("/"), model, key, timeout, threads, options
+
+    def _post(self, route: str, body: dict) -> dict:
+        import json
+        from urllib.request import Request, urlopen
+
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        with urlopen(Request(self.base + route, json.dumps(body).encode(), headers), timeout=self.timeout) as answer:
+            return json.load(answer)
+
+    def _all(self, route: str, bodies: list[dict]) -> list[dict]:
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(self.threads) as pool:
+            return list(pool.map(lambda b: self._post(route, {"model": self.model} | self.options | {k: v for k, v in b.items() if v is not None})["choices"][0], bodies))
+
+    def complete(self, prompts: list[str], seed: int | None) -> list[tuple[str, str]]:
+        return [(c["text"], c.get("finish_reason") or "") for c in self._all("/completions", [{"prompt": p, "seed": seed} for p in prompts])]
+
+    def chat(self, conversations: list[list[dict]], tools: list[str | None], seed: int | None) -> list[tuple[str, str]]:
+        import json
+
+        bodies = [{"messages": m, "tools": json.loads(t) if t else None, "seed": seed} for m, t in zip(conversations, tools)]
+        return [(c["message"].get("content") or "", c.get("finish_reason") or "") for c in self._all("/chat/completions", bodies)]
+
+    def log_probs(self, texts: list[str], prefixes: list[str]) -> list[float]:
+        """The server echoes the prompt with its tokens' log-probabilities; those that begin within ``prefix`` don't count."""
+        out = []
+        for text, prefix, c in zip(texts, prefixes, self._all("/completions", [{"prompt": p + t, "max_tokens": 0, "echo": True, "logprobs": 0} for t, p in zip(texts, prefixes)])):
+            found = c["logprobs"]
+            out.append(sum(p for p, at in zip(found["token_logprobs"], found["text_offset"]) if p is not None and len(prefix) <= at < len(prefix) + len(text)))
+        return out
 
 
 class Echo:
@@ -53,6 +177,10 @@ class Echo:
         return rows.withColumn("log_prob", F.lit(-1.0))
 
 
+    def chat(self, rows: DataFrame, messages: str = "messages", tools: str | None = None) -> DataFrame:
+        return rows.withColumns({"lm_output": F.coalesce(F.try_element_at(messages, F.lit(-1))["content"], F.lit("")), "finish_reason": F.lit("length")})
+
+
 class Constant:
     """Always answers ``text``."""
 
@@ -62,6 +190,9 @@ class Constant:
     def complete(self, rows: DataFrame, prompt: str) -> DataFrame:
         return rows.withColumns({"lm_output": F.lit(self.text), "finish_reason": F.lit("stop")})
 
+    def chat(self, rows: DataFrame, messages: str = "messages", tools: str | None = None) -> DataFrame:
+        return self.complete(rows, messages)
+
 
 def stop_sequences(*stops: str | Iterable[str] | None, bos: str | None = None, eos: str | None = None) -> list[str]:
     """All stop sequences, each once."""
@@ -78,7 +209,7 @@ def remote(*_: object, **__: object) -> Adapter:
 def run_code(rows: DataFrame, code: str, tests: str, timeout: float = 3.0) -> DataFrame:
     """``rows`` with ``passed, result`` of running the columns ``code`` and ``tests`` in a fresh interpreter. It runs what the model wrote: only for machines that may."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    def make():
         import subprocess
         import sys
 
@@ -89,8 +220,10 @@ def run_code(rows: DataFrame, code: str, tests: str, timeout: float = 3.0) -> Da
                 return "timed out"
             return "passed" if done.returncode == 0 else "failed: " + (done.stderr.strip().splitlines() or ["?"])[-1]
 
-        for b in batches:
-            results = [one(f"{c}\n{t}\n") for c, t in zip(b[code], b[tests])]
-            yield b.assign(passed=[r == "passed" for r in results], result=results)
+        def answer(b: pd.DataFrame) -> dict:
+            results = [one(f"{c}\n{t}\n") for c, t in zip(b[code].fillna(""), b[tests].fillna(""))]
+            return {"passed": [r == "passed" for r in results], "result": results}
+
+        return answer
 
-    return rows.mapInPandas(run, rows.schema.add("passed", "boolean").add("result", "string"))
+    return mapped(rows, {"passed": "boolean", "result": "string"}, make)

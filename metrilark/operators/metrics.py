@@ -82,9 +82,9 @@ def repetition_count(threshold: int = 30, length: int = 10, processor: Processor
 
 def repetition_n(n: int = 4, tokenizer: tokenizers.Tokenizer = tokenizers.whitespace, processor=None) -> Metric:
     """Share of the n-grams that repeat an earlier one."""
-    all_ = tokenizers.ngrams(tokenizer(_texts(processor, None)[0]), n)
     key = f"repetition_{n}"
-    return Metric({key: F.when(F.size(all_) > 0, 1 - F.size(F.array_distinct(all_)) / F.size(all_)).otherwise(0.0)}, {key: _mean(key)})
+    share = lambda all_: F.when(F.size(all_) > 0, 1 - F.size(F.array_distinct(all_)) / F.size(all_)).otherwise(0.0)
+    return Metric({key: tokenizers.once(tokenizers.written_ngrams(tokenizer(_texts(processor, None)[0]), n), share)}, {key: _mean(key)})
 
 
 def bleu(tokenizer: tokenizers.Tokenizer = tokenizers.mteval, processor=None, reference_processor=None) -> Metric:
@@ -173,6 +173,12 @@ def constraints(checks: str) -> Metric:
     return Metric(rows, {"format_accuracy-macro": _mean("format_all"), "format_accuracy-micro": F.try_divide(F.sum("_passed").cast("double"), F.sum("_checks"))})
 
 
+def checker_accuracies(df: DataFrame, checks: str) -> DataFrame:
+    """``metric, value``: ``format_accuracy-<name>``, the share of each named check that is passed, over the rows that ask for it."""
+    each = df.select(F.explode(checks).alias("c")).groupBy("c.name").agg(F.avg(F.col("c.passed").cast("double")).alias("value"))
+    return each.select(F.concat(F.lit("format_accuracy-"), "name").alias("metric"), "value")
+
+
 def details(df: DataFrame, metrics: Sequence[Metric]) -> DataFrame:
     """``df`` with the row columns of all metrics; of equal names the last counts."""
     return df.withColumns({k: c for m in metrics for k, c in m.rows.items()})
@@ -230,9 +236,14 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
     return ranked.select(column, (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
 
 
+def _numbers(df: DataFrame, x: str, y: str) -> DataFrame:
+    """``x`` and ``y`` as numbers: an output ``x`` that isn't one counts as 0; of a reference ``y`` that is an error. Rows without a reference are left out."""
+    return df.select(F.coalesce(F.col(x).try_cast("double"), F.lit(0.0)).alias("x"), F.col(y).cast("double").alias("y")).where("y IS NOT NULL")
+
+
 def correlation(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFrame:
-    """``metric, value``: correlation of two numeric columns. Kendall's tau-b counts inversions of the distinct pairs in one task."""
-    df = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    """``metric, value``: correlation of the outputs ``x``, texts or numbers, with the references ``y``."""
+    df = _numbers(df, x, y)
     name = F.lit(f"{method}_correlation").alias("metric")
     if method == "pearson":
         return df.agg(F.corr("x", "y").alias("value")).select(name, "value")
@@ -242,26 +253,89 @@ def correlation(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataF
         return df.join(rx, "x").join(ry, "y").agg(F.corr("rx", "ry").alias("value")).select(name, "value")
     if method != "kendall":
         raise ValueError(f"no method {method!r}")
+    return kendall(df).select(name, "value")
 
-    def tau(rows):
-        import pandas as pd
 
-        return pd.DataFrame({"value": [K.kendall(rows["x"].to_numpy(), rows["y"].to_numpy())]})
+#: Buckets of each axis in which inversions are counted apart.
+BUCKETS = 256
+
+
+def _buckets(pairs: DataFrame, column: str) -> Column:
+    """The bucket of a value; every quantile is a bucket of its own, of an odd number, so that a frequent value, with which nothing can be inverted, is alone."""
+    cuts = sorted(set(pairs.approxQuantile(column, [k / BUCKETS for k in range(1, BUCKETS)], 1 / (4 * BUCKETS))))
+    edges = F.array(*map(F.lit, cuts)).cast("array<double>")
+    return F.size(F.filter(edges, lambda c: c < F.col(column))) + F.size(F.filter(edges, lambda c: c <= F.col(column)))
+
 
-    return df.groupBy(F.lit(0).alias("g")).applyInPandas(tau, "value double").select(name, "value")
+def kendall(df: DataFrame) -> DataFrame:
+    """``value``: tau-b of ``x, y``. Equal pairs are counted first. Inversions within a bucket of ``x``, or of ``y`` across those of ``x``, are
+    counted bucket by bucket, all others from the buckets' counts, of which there are at most (2 BUCKETS)² in all."""
+    pairs = df.groupBy("x", "y").agg(F.count("*").alias("n"))
+    pairs = pairs.withColumns({"bx": _buckets(pairs, "x"), "by": _buckets(pairs, "y")})
+
+    def within(own: str, order: list[str]) -> DataFrame:
+        def count(rows):
+            import pandas as pd
+
+            rows = rows.sort_values([*order, "y"])
+            return pd.DataFrame({"d": [float(K.inversions(rows["y"].to_numpy(), rows["n"].to_numpy()))]})
+
+        return pairs.where(F.col(own) % 2 == 0).groupBy(own).applyInPandas(count, "d double")
+
+    def across(cells):
+        import pandas as pd
+
+        cells = cells.sort_values(["bx", "by"])
+        return pd.DataFrame({"d": [float(K.inversions(cells["by"].to_numpy(), cells["n"].to_numpy()))]})
+
+    cells = pairs.groupBy("bx", "by").agg(F.sum("n").alias("n"))
+    found = within("bx", ["x"]).unionByName(within("by", ["bx"])).unionByName(cells.groupBy(F.lit(0).alias("one")).applyInPandas(across, "d double")).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"))
+    ties = lambda c, name: F.coalesce(F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2), F.lit(0.0)).alias(name)
+    by = lambda c: pairs.groupBy(c).agg(F.sum("n").alias("n")).agg(ties("n", f"t{c}"))
+    all_ = pairs.agg(F.sum("n").alias("n"), ties("n", "txy")).withColumn("n", F.coalesce("n", F.lit(0))).withColumn("all", F.col("n").cast("double") * (F.col("n") - 1) / 2)
+    t = all_.crossJoin(by("x")).crossJoin(by("y")).crossJoin(found)  # a row each
+    over = F.sqrt(F.col("all") - F.col("tx")) * F.sqrt(F.col("all") - F.col("ty"))
+    return t.select(F.try_divide(F.col("all") - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("d"), over).alias("value"))
+
+
+def correlation_summary(df: DataFrame, x: str, y: str, methods: Sequence[str] = ("pearson", "spearman", "kendall")) -> DataFrame:
+    """``metric, value`` with ``<method>_correlation`` and ``<method>_pvalue`` of each method."""
+    n = _numbers(df, x, y).count()
+    rows = []
+    for method in methods:
+        value = correlation(df, x, y, method).first()["value"]
+        p = p_value(method, math.nan if value is None else value, n)
+        rows += [(f"{method}_correlation", value), (f"{method}_pvalue", None if math.isnan(p) else p)]
+    return df.sparkSession.createDataFrame(rows, "metric string, value double")
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    tiny, c = 1e-300, 1.0
+    d = 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    out = d
+    for m in range(1, 500):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + step * d) or tiny)
+            c = (1 + step / c) or tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) * out / a
 
 
 def p_value(method: str, value: float, n: int) -> float:
-    """Two-sided p-value of a correlation, by the normal approximation (Fisher's z; for Kendall its variance without ties)."""
+    """Two-sided p-value of a correlation: Student's t for Pearson and Spearman; for Kendall the normal approximation, with the variance without ties."""
     if n < 3 or math.isnan(value):
         return math.nan
     if method == "kendall":
         z = 3 * value * math.sqrt(n * (n - 1)) / math.sqrt(2 * (2 * n + 5))
-    elif abs(value) >= 1:
-        return 0.0
-    else:
-        z = math.atanh(value) * math.sqrt(max(n - 3, 1))
-    return math.erfc(abs(z) / math.sqrt(2))
+        return math.erfc(abs(z) / math.sqrt(2))
+    return _beta_share((n - 2) / 2, 0.5, 1 - min(value * value, 1.0))
 
 
 def f1_scores(df: DataFrame, truth: str, predicted: str) -> DataFrame:

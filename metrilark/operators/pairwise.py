@@ -40,7 +40,8 @@ def random_combinations(items: DataFrame, n: int = 100, seed: int = 42, cached:
         by_item.setdefault(r["item_id"], []).append(r["model"])
     pairs = [(a, b, i) for i, models in sorted(by_item.items(), key=lambda x: str(x[0])) for a in sorted(models) for b in sorted(models) if a != b]
     known = [] if cached is None else [tuple(r) for r in cached.select("model1", "model2", "item_id").distinct().collect()]
-    known = [k for k in known if k in set(pairs)]
+    possible = set(pairs)
+    known = [k for k in known if k in possible]
     want = min(len(pairs), n + (len(known) if incremental else 0))
     rng, chosen = random.Random(seed), known[:want]
     played = {m: 0 for m in sorted({p[0] for p in pairs})}
@@ -48,13 +49,13 @@ def random_combinations(items: DataFrame, n: int = 100, seed: int = 42, cached:
         played[a] += 1
         played[b] += 1
     left: dict[str, list] = {m: [] for m in played}
+    done = set(chosen)
     for p in pairs:
-        if p not in set(chosen):
+        if p not in done:
             left[p[0]].append(p)
             left[p[1]].append(p)
     for p in left.values():
         rng.shuffle(p)
-    done = set(chosen)
     while len(chosen) < want:
         for model in sorted(played, key=lambda m: (played[m], m)):
             while left[model] and left[model][-1] in done:
@@ -94,22 +95,34 @@ def win_matrix(matches: DataFrame) -> DataFrame:
 
 
 def bradley_terry(matches: DataFrame, rounds: int = 1000, tolerance: float = 1e-3, eps: float = 1e-8, base: float = 10.0, scale: float = 400.0, start: float = 1000.0) -> DataFrame:
-    """``model, rating``: strengths by Newman's iteration on the win matrix (models by models, on the driver), in order of names, each round scaled to a geometric mean of 1."""
+    """``model, rating`` by falling rating, then name: strengths by Newman's iteration on the win matrix (models by models, on the driver).
+
+    A round goes over the models in the order of their names; each is compared with those it has beaten, or drawn with, and from then on with those that were
+    compared with it. A round ends with a geometric mean of 1. ``eps`` in both sums keeps the strengths finite where there is no maximum of the likelihood, as with
+    a model that never wins: such models come last, by a rating that depends on ``eps``; elsewhere it changes nothing within the tolerance.
+    """
     rows = win_matrix(matches).collect()
     models = sorted({r["winner"] for r in rows} | {r["loser"] for r in rows})
+    place = {m: k for k, m in enumerate(models)}
     wins = np.zeros((len(models), len(models)))
     for r in rows:
-        wins[models.index(r["winner"]), models.index(r["loser"])] = r["wins"]
+        wins[place[r["winner"]], place[r["loser"]]] = r["wins"]
+    met = wins > 0
     strength = np.ones(len(models))
     for _ in range(rounds):
         before = strength.copy()
         for i in range(len(models)):
-            both = strength[i] + strength
-            up = (wins[i] * strength / both).sum()
-            down = (wins[:, i] / both).sum()
-            strength[i] = (up + eps) / (down + eps)
+            other = np.flatnonzero(met[i])
+            met[other, i] = True
+            both = strength[i] + strength[other]
+            strength[i] = ((wins[i, other] * strength[other] / both).sum() + eps) / ((wins[other, i] / both).sum() + eps)
         strength /= np.exp(np.log(strength).mean()) if len(models) else 1
         if np.abs(strength - before).sum() < tolerance:
             break
-    ratings = [(m, float(scale / math.log(base) * math.log(s) + start)) for m, s in zip(models, strength)]
-    return matches.sparkSession.createDataFrame(ratings, "model string, rating double")
+    ratings = [(m, scale / math.log(base) * math.log(s) + start) for m, s in zip(models, strength.tolist())]
+    return matches.sparkSession.createDataFrame(sorted(ratings, key=lambda r: (-r[1], r[0])), "model string, rating double")
+
+
+def ranked(scores: DataFrame, score: str) -> DataFrame:
+    """Scores by falling value, then by model."""
+    return scores.orderBy(F.desc(score), "model")

@@ -5,7 +5,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,13 +17,11 @@ from ..operators.chat import split_last_answer
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Consecutive ids: the place in its partition after the rows of the partitions before it. One narrow extra pass counts them."""
-    tagged = df.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright(F.col("_at"), 33)
-    counts = tagged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    joined = tagged.withColumn("_part", part).join(F.broadcast(before), "_part")
-    return joined.withColumn("row_id", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+    """``df``, a scan of files, with consecutive ids: by file, block of the file and place in it, in whatever order Spark reads the blocks. One narrow extra pass counts them."""
+    tagged = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = tagged.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row a block
+    before = blocks.select("_file", "_block", (F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n") - F.col("_first")).alias("_before"))
+    return tagged.join(before, ["_file", "_block"]).withColumn("row_id", F.col("_before") + F.col("_at")).drop("_file", "_block", "_at", "_before")
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -106,6 +105,33 @@ def evaluation_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({c: F.lit(None).cast(t) for c, t in EVAL.items() if c not in rows.columns})
 
 
+def bundled_benchmark(name: str, folders: Sequence[str] = ()) -> str:
+    """The file of a chat benchmark: ``name`` itself if there is one, else ``<name>.jsonl`` in the first of ``folders`` that has it."""
+    for path in (Path(name), *(Path(f) / f"{name}.jsonl" for f in folders)):
+        if path.is_file():
+            return str(path)
+    raise FileNotFoundError(f"no chat benchmark {name!r}; there are {sorted(p.stem for f in folders for p in Path(f).glob('*.jsonl'))}")
+
+
+def with_extra_info(df: DataFrame) -> DataFrame:
+    """``df`` with ``extra_info``: an empty object where there is none."""
+    if "extra_info" not in df.columns:
+        return df.withColumn("extra_info", F.lit("{}"))
+    text = F.col("extra_info") if dict(df.dtypes)["extra_info"] == "string" else F.to_json("extra_info")
+    return df.withColumn("extra_info", F.coalesce(text, F.lit("{}")))
+
+
+def runs(frames: Sequence[DataFrame]) -> DataFrame:
+    """The results of repeated runs one after another, with their number in ``run``, from 0."""
+    out = None
+    for k, df in enumerate(frames):
+        one = df.withColumn("run", F.lit(k))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("there is no run")
+    return out
+
+
 def hub(*_: str) -> DataFrame:
     raise NotAvailable("dataset hubs need a network; read a local mirror with parquet() or json_lines()")
 

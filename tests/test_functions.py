@@ -52,15 +52,24 @@ def test_similarity():
     assert K.similarity("テスト", "テストです") == 0.75 and K.similarity("10", "Answer: 10") == 0.33 and K.similarity("", "a") == 0 == K.similarity("a", "")
 
 
-def test_kendall():
-    import numpy as np
-
-    assert K.kendall(np.array([1.0, 2, 3]), np.array([3.0, 2, 1])) == -1
-    rng = np.random.default_rng(1)
-    x, y = rng.integers(0, 6, 60).astype(float), rng.integers(0, 6, 60).astype(float)
-    s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(60) for j in range(i))
-    nx, ny = (sum(v[i] != v[j] for i in range(60) for j in range(i)) for v in (x, y))
-    assert K.kendall(x, y) == pytest.approx(s / (nx * ny) ** 0.5)
+@pytest.mark.parametrize("values", [3, 6, 500])
+def test_kendall(spark, values):
+    rng = random.Random(values)
+    rows = [(float(rng.randrange(values)), float(7 if rng.random() < 0.3 else rng.randrange(values))) for _ in range(400)]
+    sign = lambda v: (v > 0) - (v < 0)
+    pairs = [(sign(a - c), sign(b - d)) for k, (a, b) in enumerate(rows) for c, d in rows[:k]]
+    wanted = sum(s * t for s, t in pairs) / (sum(s != 0 for s, _ in pairs) * sum(t != 0 for _, t in pairs)) ** 0.5
+    assert M.kendall(spark.createDataFrame(rows, "x double, y double")).first()["value"] == pytest.approx(wanted)
+
+
+def test_correlation_of_texts(spark):
+    rows = spark.createDataFrame([("1", "1"), ("x", "2"), ("3", "3"), (None, "4")], "lm_output string, reference string")
+    found = {r["metric"]: r["value"] for r in M.correlation_summary(rows, "lm_output", "reference").collect()}
+    assert found["pearson_correlation"] == pytest.approx(0.0) and found["pearson_pvalue"] == pytest.approx(1.0)
+    assert M.p_value("pearson", 0.5, 12) == pytest.approx(0.0979, abs=1e-4) and M.p_value("spearman", 1.0, 5) == 0.0
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        M.correlation(rows, "reference", "lm_output").collect()
+    assert M.correlation(rows.where("false"), "lm_output", "reference", "kendall").first()["value"] is None
 
 
 @pytest.mark.parametrize(("text", "number"), [("1000.", "1000"), ("1000.00", "1000"), ("0.314", "0.314"), ("-3.1419", "-3.1419"), ("1,319", "1319"), (r"\boxed{230 + x}", "230"), ("none", "")])
