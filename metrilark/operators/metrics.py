@@ -241,16 +241,21 @@ def _numbers(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.coalesce(F.col(x).try_cast("double"), F.lit(0.0)).alias("x"), F.col(y).cast("double").alias("y")).where("y IS NOT NULL")
 
 
+def _corr(x: str, y: str) -> Column:
+    """Null where one side doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFrame:
     """``metric, value``: correlation of the outputs ``x``, texts or numbers, with the references ``y``."""
     df = _numbers(df, x, y)
     name = F.lit(f"{method}_correlation").alias("metric")
     if method == "pearson":
-        return df.agg(F.corr("x", "y").alias("value")).select(name, "value")
+        return df.agg(_corr("x", "y").alias("value")).select(name, "value")
     if method == "spearman":
         rx = average_ranks(df, "x").withColumnRenamed("rank", "rx")
         ry = average_ranks(df, "y").withColumnRenamed("rank", "ry")
-        return df.join(rx, "x").join(ry, "y").agg(F.corr("rx", "ry").alias("value")).select(name, "value")
+        return df.join(rx, "x").join(ry, "y").agg(_corr("rx", "ry").alias("value")).select(name, "value")
     if method != "kendall":
         raise ValueError(f"no method {method!r}")
     return kendall(df).select(name, "value")

@@ -7,14 +7,16 @@ import json
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.templates import Template
 from ..models import Adapter
 from ..operators import metrics as M
-from ..operators import pairwise, shaping
+from ..operators import chat, pairwise, shaping
 from ..operators.sampling import collected, random_shots
+from ..session import written
+from ..sources.readers import with_extra_info
 
 
 def offline(rows: DataFrame, metrics: Sequence[M.Metric], category: str | None = None, references: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -44,6 +46,62 @@ def perplexity(rows: DataFrame, model: Adapter, tokens: str | None = None, max_i
     return M.perplexity(scored, tokens=tokens), scored
 
 
+def chat_evaluation(rows: DataFrame, model: Adapter, metrics: Sequence[M.Metric], shots: Column | None = None, tools: str | None = None, max_instances: int | None = None, category: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Conversations ``row_id, messages, ...`` answered turn by turn, with the example conversations ``shots`` (array<array<message>>) before the first responding turn; then the metrics.
+
+    ``lm_output`` is the last answer, which isn't among the ``messages`` that are kept; a conversation without an open turn has the output "" and the reason "no_slot".
+    """
+    rows = shaping.first_rows(rows, max_instances)
+    if shots is not None:
+        rows = rows.withColumn("messages", chat.insert_examples(F.col("messages"), shots))
+    rows = rows.withColumns({"messages": F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))), "_before": F.size("messages"), "finish_reason": F.lit(None).cast("string")})
+    answered = chat.rounds(rows, lambda df: model.chat(df, "messages", tools).withColumnRenamed("lm_output", "answer"), written)
+    last = F.element_at("messages", F.when(F.size("messages") > 0, F.lit(-1)))
+    new = F.size("messages") > F.col("_before")
+    said = last["role"] == "assistant"
+    out = answered.withColumns({"lm_output": F.when(new & said, last["content"]).otherwise(""), "finish_reason": F.when(new, F.col("finish_reason")).otherwise("no_slot")})
+    out = out.withColumn("messages", F.when(new & said, F.slice("messages", F.lit(1), F.size("messages") - 1)).otherwise(F.col("messages"))).drop("_before")
+    return M.evaluate(out, metrics, category)
+
+
+def _only(column: str) -> Column:
+    """The text of a conversation of one message; any other is an error."""
+    return F.when(F.size(column) == 1, F.col(column)[0]["content"]).otherwise(F.raise_error(F.lit(f"{column} must have exactly one message")).cast("string"))
+
+
+def log_prob_judge(model: Adapter) -> Callable[[DataFrame], DataFrame]:
+    """A judge of ``prompt, chosen, rejected``: right if the chosen answer has the strictly higher log-probability after the prompt."""
+
+    def judge(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_prompt", F.array_join(F.transform("prompt", lambda m: m["content"]), "\n"))
+        for side in ("chosen", "rejected"):
+            rows = model.log_probs(rows.withColumn("_text", _only(side)), "_text", "_prompt").withColumnRenamed("log_prob", f"log_prob_{side}")
+        return rows.drop("_prompt", "_text").withColumn("is_correct", F.col("log_prob_chosen") > F.col("log_prob_rejected"))
+
+    return judge
+
+
+def both_orders_judge(model: Adapter, template: str) -> Callable[[DataFrame], DataFrame]:
+    """A judge that asks ``model`` twice, with the answers in both orders: ``template`` sees ``prompt``, ``answer_a`` and ``answer_b``. Right only if both verdicts are."""
+
+    def judge(rows: DataFrame) -> DataFrame:
+        texts = {"_prompt_text": F.array_join(F.transform("prompt", lambda m: m["content"]), "\n"), "_chosen": _only("chosen"), "_rejected": _only("rejected")}
+        rows = rows.withColumns(texts)
+        for order, a, b in (("ab", "_chosen", "_rejected"), ("ba", "_rejected", "_chosen")):
+            asked = rows.withColumn("_asked", Template(template)(prompt=F.col("_prompt_text"), answer_a=F.col(a), answer_b=F.col(b)))
+            rows = model.complete(asked, "_asked").withColumnRenamed("lm_output", f"judge_{order}").drop("_asked", "finish_reason")
+        return M.order_invariant_verdicts(rows, "judge_ab", "judge_ba").drop(*texts)
+
+    return judge
+
+
+def reward(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], category: str = "category_key", max_instances: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``metric, value`` with the accuracy overall and by category, rows with ``is_correct`` and what else the judge says) of ``prompt, chosen, rejected``. The columns of the rows win over the judge's of the same name."""
+    rows = with_extra_info(shaping.first_rows(rows, max_instances))
+    judged = judge(rows)
+    return M.reward_accuracy(judged.withColumn("_zero", F.lit(0)).withColumn("_hit", F.col("is_correct").cast("int")), "_hit", "_zero", category), judged
+
+
 def compared(items: DataFrame, judge: Callable[[DataFrame], DataFrame], match_maker: Callable[..., DataFrame] = pairwise.all_combinations, cached: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """({scorer: scores}, matches): the matches made, those without a winner judged, then win rates and ratings."""
     matches = pairwise.judged(match_maker(items, cached=cached), judge)

@@ -14,6 +14,7 @@ from ..functions import processors as P
 from ..operators import chat, pairwise, sampling, shaping
 from ..operators import metrics as M
 from ..operators.metrics import Metric
+from . import checker_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,13 +51,14 @@ def ev_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EV_CHAT = """ev AS (SELECT conv_id * 1000 + turn AS row_id, text AS lm_output, [prev] AS refs, CASE WHEN sys = 1 THEN 'system' ELSE 'plain' END AS category FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, max(CAST(role = 'system' AS INT)) OVER (PARTITION BY conv_id) AS sys FROM conversations) WHERE role = 'assistant')"""
 
 
-def ev_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words against the same in lower case and the second word, by language."""
-    word = lambda k: F.split_part("text", F.lit(" "), F.lit(k))
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), word(1).alias("lm_output"), F.array(F.lower(word(1)), word(2)).alias("references"), F.col("lang").alias("category"))
+def ev_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts against themselves in lower case and the text of the doc_id before, by language."""
+    docs = _table(spark, sf_dir, "documents")
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("_before"))
+    return docs.join(before, "doc_id", "left").select(F.col("doc_id").alias("row_id"), F.col("text").alias("lm_output"), F.filter(F.array(F.lower("text"), "_before"), lambda r: r.isNotNull()).alias("references"), F.col("lang").alias("category"))
 
 
-_EV_SHORT = "ev AS (SELECT doc_id AS row_id, split_part(text, ' ', 1) AS lm_output, [lower(split_part(text, ' ', 1)), split_part(text, ' ', 2)] AS refs, lang AS category FROM documents)"
+_EV_TEXTS = "ev AS (SELECT d.doc_id AS row_id, d.text AS lm_output, list_filter([lower(d.text), b.text], lambda r: r IS NOT NULL) AS refs, d.lang AS category FROM documents d LEFT JOIN documents b ON b.doc_id = d.doc_id - 1)"
 
 
 def _summary(view: str, rows: str, overall: dict[str, str], per: dict[str, str] | None = None) -> str:
@@ -82,15 +84,15 @@ def eval_offline_summary(spark, sf_dir):
     return _offline(ev_chat(spark, sf_dir))
 
 
-@_query(_summary(_EV_SHORT, f"{_EM}, {_SUB}, length(lm_output) AS len", *_OFFLINE))
+@_query(_summary(_EV_TEXTS, f"{_EM}, {_SUB}, length(lm_output) AS len", *_OFFLINE))
 def eval_short_summary(spark, sf_dir):
-    return _offline(ev_short(spark, sf_dir))
+    return _offline(ev_texts(spark, sf_dir))
 
 
-@_query(f"WITH {_EV_SHORT} SELECT row_id, list_contains(refs, lm_output) AS exact_match, len(list_filter(refs, lambda r: contains(lm_output, r))) > 0 AS any_in, len(list_filter(refs, lambda r: contains(lm_output, r))) = len(refs) AS all_in, CAST(list_max(list_transform(refs, lambda r: list_max(list_filter(generate_series(0, least(length(r), length(lm_output))), lambda k: left(r, k) = left(lm_output, k))))) AS INT) AS prefix FROM ev")
+@_query(f"WITH {_EV_TEXTS} SELECT row_id, list_contains(refs, lm_output) AS exact_match, len(list_filter(refs, lambda r: contains(lm_output, r))) > 0 AS any_in, len(list_filter(refs, lambda r: contains(lm_output, r))) = len(refs) AS all_in FROM ev")
 def match_details(spark, sf_dir):
-    scored = M.details(ev_short(spark, sf_dir), [M.exact_match(), M.substring_match("any"), M.substring_match("all"), M.common_prefix_length()])
-    return scored.select("row_id", "exact_match", F.col("substring_match-any").alias("any_in"), F.col("substring_match-all").alias("all_in"), F.col("common_prefix_length").alias("prefix"))
+    scored = M.details(ev_texts(spark, sf_dir), [M.exact_match(), M.substring_match("any"), M.substring_match("all")])
+    return scored.select("row_id", "exact_match", F.col("substring_match-any").alias("any_in"), F.col("substring_match-all").alias("all_in"))
 
 
 @_query(r"""SELECT doc_id, lower(regexp_replace(split_part(text, chr(10), -1), '^\s+|\s+$', '', 'g')) AS last_line, coalesce(regexp_extract_all(text, '(?s)\d+')[-1], '') AS last_digits, CASE WHEN contains(v, '.') THEN rtrim(rtrim(v, '0'), '.') ELSE v END AS number FROM (SELECT *, rtrim(coalesce(regexp_extract_all(replace(text, ',', ''), '-?\d+\.?\d*')[-1], ''), '.') AS v FROM documents)""")
@@ -142,44 +144,42 @@ def tool_calls(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", P.tool_arguments_valid(F.col("props")).alias("valid"), P.tool_call_id(F.col("event_id").cast("string")).alias("call_id"))
 
 
-_JUDGE = "ev AS (SELECT doc_id, lang AS category, CASE WHEN doc_id % 11 = 0 THEN 'no verdict' ELSE 'Score: 3. [[' || (doc_id % 7) || ']]' END AS answer FROM documents)"
+_JUDGE = "ev AS (SELECT lang AS category, text AS answer FROM documents)"
 
 
-@_query(_summary(_JUDGE, r"try_cast(regexp_extract_all(answer, '\[\[(\d+)\]\]', 1)[-1] AS INT) AS raw, CASE WHEN raw BETWEEN 1 AND 5 THEN raw END AS score", {"llm_score": "avg(score)", "num_failed_score_parses": "count(*) - count(score)"}, {"llm_score": "avg(score)"}))
+@_query(_summary(_JUDGE, r"try_cast(regexp_extract_all(answer, '(\d+)', 1)[-1] AS INT) AS raw, CASE WHEN raw BETWEEN 1 AND 500 THEN raw END AS score", {"llm_score": "avg(score)", "num_failed_score_parses": "count(*) - count(score)"}, {"llm_score": "avg(score)"}))
 def judge_scores(spark, sf_dir):
-    ev = _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"), F.when(F.col("doc_id") % 11 == 0, "no verdict").otherwise(F.concat(F.lit("Score: 3. [["), F.col("doc_id") % 7, F.lit("]]"))).alias("answer"))
-    return _rounded(M.evaluate(ev, [M.judge_score("answer", (1, 5), r"\[\[(\d+)\]\]")], "category")[0])
+    ev = _table(spark, sf_dir, "documents").select(F.col("lang").alias("category"), F.col("text").alias("answer"))
+    return _rounded(M.evaluate(ev, [M.judge_score("answer", (1, 500))], "category")[0])
 
 
-_LABELS = ("good", "bad", "ugly")
-_DISTRIBUTION = {"llm_score": "avg(CASE label WHEN 'good' THEN 1.0 WHEN 'bad' THEN 0.5 WHEN 'ugly' THEN 0.0 END)"} | {f"llm_label_distribution-{x}": f"count(*) FILTER (label = '{x}') / CAST(count(label) AS DOUBLE)" for x in _LABELS}
+_LABELS = ("the", "in", "an")
+_DISTRIBUTION = {"llm_score": "avg(CASE label WHEN 'the' THEN 1.0 WHEN 'in' THEN 0.5 WHEN 'an' THEN 0.0 END)"} | {f"llm_label_distribution-{x}": f"count(*) FILTER (label = '{x}') / CAST(count(label) AS DOUBLE)" for x in _LABELS}
 
 
-@_query(_summary("ev AS (SELECT lang AS category, 'bad start, now ' || ['good', 'bad', 'ugly', 'good'][doc_id % 4 + 1] AS answer FROM documents)", "regexp_extract_all(answer, '(good|bad|ugly)', 1)[-1] AS label", _DISTRIBUTION | {"num_failed_score_parses": "count(*) - count(label)"}, _DISTRIBUTION))
+@_query(_summary(_JUDGE, "regexp_extract_all(answer, '(the|in|an)', 1)[-1] AS label", _DISTRIBUTION | {"num_failed_score_parses": "count(*) - count(label)"}, _DISTRIBUTION))
 def judge_labels(spark, sf_dir):
-    word = F.element_at(F.array(*map(F.lit, (*_LABELS, "good"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    ev = _table(spark, sf_dir, "documents").select(F.col("lang").alias("category"), F.concat(F.lit("bad start, now "), word).alias("answer"))
+    ev = _table(spark, sf_dir, "documents").select(F.col("lang").alias("category"), F.col("text").alias("answer"))
     return _rounded(M.evaluate(ev, [M.judge_label("answer", _LABELS, (1.0, 0.5, 0.0))], "category")[0])
 
 
-@_query("SELECT vec_id, round(list_sum(list_transform(generate_series(1, 5), lambda k: k * exp(CAST(embedding[k] AS DOUBLE)))) / list_sum(list_transform(generate_series(1, 5), lambda k: exp(CAST(embedding[k] AS DOUBLE)))), 6) AS score FROM embeddings")
+@_query("SELECT vec_id, round(list_sum(list_transform(generate_series(1, 64), lambda k: k * exp(CAST(embedding[k] AS DOUBLE)))) / list_sum(list_transform(generate_series(1, 64), lambda k: exp(CAST(embedding[k] AS DOUBLE)))), 6) AS score FROM embeddings")
 def judge_weighted_scores(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings")
-    log_probs = F.map_from_arrays(F.array(*[F.lit(str(k)) for k in range(1, 6)]), F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double")))
-    return rows.select("vec_id", F.round(parsing.weighted_score(log_probs, (1, 5)), 6).alias("score"))
+    log_probs = F.map_from_arrays(F.array(*[F.lit(str(k)) for k in range(1, 65)]), F.transform("embedding", lambda x: x.cast("double")))
+    return rows.select("vec_id", F.round(parsing.weighted_score(log_probs, (1, 64)), 6).alias("score"))
 
 
-@_query(r"SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'model1' WHEN 2 THEN 'model2' ELSE 'draw' END AS winner, CASE WHEN doc_id % 5 BETWEEN 1 AND 3 THEN 'after 9: ' || (doc_id % 5) ELSE 'Invalid judge ''' || (doc_id % 5) || ''': after 9: ' || (doc_id % 5) END AS rationale FROM documents")
+@_query(r"SELECT doc_id, CASE n WHEN 1 THEN 'model1' WHEN 2 THEN 'model2' ELSE 'draw' END AS winner, CASE WHEN d IS NULL THEN 'Parsing failure: ' || text WHEN n BETWEEN 1 AND 3 THEN text ELSE 'Invalid judge ''' || d || ''': ' || text END AS rationale FROM (SELECT doc_id, text, regexp_extract_all(text, '(\d+)', 1)[-1] AS d, try_cast(d AS INT) AS n FROM documents)")
 def judge_winners(spark, sf_dir):
-    text = F.concat(F.lit("after 9: "), F.col("doc_id") % 5)
-    return _table(spark, sf_dir, "documents").select("doc_id", parsing.judge_winner(text).alias("w")).select("doc_id", "w.winner", "w.rationale")
+    return _table(spark, sf_dir, "documents").select("doc_id", parsing.judge_winner(F.col("text")).alias("w")).select("doc_id", "w.winner", "w.rationale")
 
 
 def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.multiple_choice(_table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("answer_index"), F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("log_probs"), F.array(*[F.lit("x" * (k + 1)) for k in range(10)]).alias("choices")))
+    return M.multiple_choice(_table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("answer_index"), F.transform("embedding", lambda x: x.cast("double")).alias("log_probs"), F.array(*[F.lit("x" * (k + 1)) for k in range(64)]).alias("choices")))
 
 
-_CHOICES = "m AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS p FROM embeddings), q AS (SELECT vec_id, label, CAST(list_position(p, list_max(p)) - 1 AS INT) AS prediction, list_transform(p, lambda x, i: x / i) AS b FROM m), r AS (SELECT vec_id, label, prediction, CAST(list_position(b, list_max(b)) - 1 AS INT) AS byte_norm_prediction FROM q)"
+_CHOICES = "m AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS p FROM embeddings), q AS (SELECT vec_id, label, CAST(list_position(p, list_max(p)) - 1 AS INT) AS prediction, list_transform(p, lambda x, i: x / i) AS b FROM m), r AS (SELECT vec_id, label, prediction, CAST(list_position(b, list_max(b)) - 1 AS INT) AS byte_norm_prediction FROM q)"
 
 
 @_query(f"WITH {_CHOICES} SELECT vec_id, prediction, byte_norm_prediction, prediction = label AS correct, byte_norm_prediction = label AS byte_norm_correct FROM r")
@@ -191,7 +191,7 @@ def multiple_choice_details(spark, sf_dir):
 def multiple_choice_summary(spark, sf_dir):
     from .evaluations import multiple_choice
 
-    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").alias("answer_index"), F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("log_probs"), F.array(*[F.lit("x" * (k + 1)) for k in range(10)]).alias("choices"))
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").alias("answer_index"), F.transform("embedding", lambda x: x.cast("double")).alias("log_probs"), F.array(*[F.lit("x" * (k + 1)) for k in range(64)]).alias("choices"))
     return _rounded(multiple_choice(rows)[0])
 
 
@@ -250,10 +250,10 @@ def response_slots(spark, sf_dir):
     return chat.turn_slots(_table(spark, sf_dir, "conversations"))
 
 
-@_query("SELECT doc_id, CASE WHEN length(text) + 3 <= 80 THEN text ELSE left(text, 38) || '...' || right(text, 39) END AS prompt, ['EN: ' || source] AS refs FROM documents WHERE doc_id >= 10 AND lang = 'en' AND source <> 'src0'")
+@_query("SELECT doc_id, CASE WHEN length(text) + 3 <= 80 THEN text ELSE left(text, 38) || '...' || right(text, 39) END AS prompt, [upper(lang) || ': ' || source] AS refs FROM documents")
 def shaped_items(spark, sf_dir):
     items = _table(spark, sf_dir, "documents").withColumn("row_id", F.col("doc_id"))
-    shaped = shaping.generation(items, reference="{{ lang | upper }}: {{ source }}", inputs={"prompt": "{{ text | truncate_middle(80) }}"}, rows=(10, None), keep={"{{ lang }}": "en"}, remove={"{{ source }}": "src0"})
+    shaped = shaping.generation(items, reference="{{ lang | upper }}: {{ source }}", inputs={"prompt": "{{ text | truncate_middle(80) }}"})
     return shaped.select("doc_id", "prompt", F.col("references").alias("refs"))
 
 
@@ -290,3 +290,20 @@ def stopped_outputs(spark, sf_dir):
 def reasoning_split(spark, sf_dir):
     made = P.postprocess(F.col("text"), parser=P.reasoning(r"^(?P<reasoning_content>.*?)\.(?P<content>.*)$"))
     return _table(spark, sf_dir, "documents").select("doc_id", made["reasoning_text"].alias("reasoning_text"), made["lm_output"].alias("lm_output")).where("reasoning_text IS NOT NULL")
+
+
+@_query(checker_queries.ENGLISH_SQL)
+def english_checkers(spark, sf_dir):
+    return checker_queries.english(_table(spark, sf_dir, "documents"))
+
+
+@_query(checker_queries.JAPANESE_SQL)
+def japanese_checkers(spark, sf_dir):
+    return checker_queries.japanese(_table(spark, sf_dir, "documents"))
+
+
+
+from . import more_queries  # noqa: E402  these use the views above
+
+QUERIES.update(more_queries.QUERIES)
+ORACLE_SQL.update(more_queries.ORACLE_SQL)

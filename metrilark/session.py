@@ -1,13 +1,14 @@
-"""Session defaults, and the package's code on the executors."""
+"""Session defaults, the package's code on the executors, and the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -36,3 +37,23 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         context._metrilark_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = getattr(spark, "_metrilark_shared", None)
+    if own is None:
+        own = spark._metrilark_shared = "file://" + tempfile.mkdtemp(prefix="metrilark-")
+    return own
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: without lineage, and kept when executors are lost."""
+    path = f"{shared_folder(df.sparkSession)}/metrilark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

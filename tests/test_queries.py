@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pytest
 from metrilark.plans.queries import ORACLE_SQL, QUERIES
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the tables")
@@ -29,6 +30,12 @@ def test_entry(spark):
 
 
 def test_pushdown(spark):
-    """Only the columns of a query are read, and its filters reach the scan."""
-    plan = QUERIES["shaped_items"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    """Only the columns that are needed are read, and conditions reach the scan."""
+    from metrilark.operators import shaping
+
+    items = spark.read.parquet(f"{SF}/documents.parquet").withColumn("row_id", F.col("doc_id"))
+    shaped = shaping.generation(items, reference="{{ source }}", rows=(10, None), keep={"{{ lang }}": "en"}, remove={"{{ source }}": "src0"}).select("doc_id", "references")
+    plan = shaped._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in plan and "n_chars" not in plan.split("ReadSchema")[1]
+    kept = {r["doc_id"] for r in shaped.collect()}
+    assert kept == {r["doc_id"] for r in items.collect() if r["doc_id"] >= 10 and r["lang"] == "en" and r["source"] != "src0"}
