@@ -1,12 +1,12 @@
 """Licence scans by Dice coefficient over word bigrams (operator 10).
 
 Texts are normalised to lower-case words. A licence text is looked for in runs of
-consecutive lines, for notices stand within documents. A run is compared with a
+consecutive words, for notices stand within documents and within lines. A run is compared with a
 template by the Dice coefficient of their sets of word bigrams. Two sets reach a
 coefficient t only if the smaller has at least t / (2 - t) of the larger's size, which
 bounds the runs to compare: only runs of as many bigrams as that are taken, only in texts
-that have enough of the templates' bigrams at all, and of these only runs whose first and last
-line can add a bigram of the template, as any other run scores no more than the shorter one within it.
+that have enough of the template's bigrams at all, and of these only runs whose first and last
+bigrams are the template's, as any other run scores less than the shorter one within it.
 """
 
 from __future__ import annotations
@@ -37,21 +37,34 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 _GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
 
 #: name -> texts: short notices and licence texts.
 TEMPLATES: dict[str, list[str]] = {
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", _GPL.replace("GNU General", "GNU Affero General")],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", _APACHE],
-    "BSD-2-Clause": [_BSD, "Licensed under the BSD 2-Clause License."],
-    "BSD-3-Clause": [_BSD + "\n" + _BSD_3, "Licensed under the BSD 3-Clause License."],
+    "BSD-2-Clause": [_BSD, _BSD + "\n" + _BSD_END, "Licensed under the BSD 2-Clause License."],
+    "BSD-3-Clause": [_BSD + "\n" + _BSD_3, _BSD + "\n" + _BSD_3 + "\n" + _BSD_END, "Licensed under the BSD 3-Clause License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", _GPL.replace("version 3", "version 2")],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", _GPL],
-    "ISC": [_ISC, "Released under the ISC License."],
+    "ISC": [_ISC, _ISC + "\n" + _ISC_END, "Released under the ISC License."],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", _GPL.replace("GNU General", "GNU Lesser General")],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", _MIT, _MIT + "\n" + _MIT_END],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "Unlicense": [_UNLICENSE],
+    "Zlib": [_ZLIB],
 }
 
 
@@ -101,36 +114,39 @@ class Templates:
 
     def scan(self, text: str, least: float) -> list[tuple[str, float, int, int]]:
         """(licence, coefficient, first line, last line) of the best runs that don't overlap; ties go to the shorter, then the earlier, then by name."""
-        lines = [tokens(line) for line in text.split("\n")]
+        words, line = [], []
+        for k, row in enumerate(text.split("\n")):
+            more = tokens(row)
+            words += more
+            line += [k] * len(more)
+        pairs = list(zip(words, words[1:]))
+        places: dict[tuple[str, str], list[int]] = {}
+        for i, pair in enumerate(pairs):
+            places.setdefault(pair, []).append(i)
         found: list[tuple[str, float, int, int]] = []
-        own = [bigrams(line) for line in lines]
-        whole = bigrams([w for line in lines for w in line]).union(*own)
-        filled = [i for i, line in enumerate(lines) if line]
         for name, wanted, low, high in zip(self.names, self.sets, self.low, self.high):
-            if len(wanted & whole) < np.ceil(least * (low + len(wanted)) / 2 - 1e-9):
+            shared = [p for p in wanted if p in places]
+            if len(shared) < np.ceil(least * (low + len(wanted)) / 2 - 1e-9):
                 continue  # no run has enough of its bigrams
-            vocabulary = {w for pair in wanted for w in pair}
-            has = {i: bool(own[i] & wanted) for i in filled}
-            firsts = [i for i in filled if has[i] or lines[i][-1] in vocabulary]
-            lasts = {i for i in filled if has[i] or lines[i][0] in vocabulary}
-            for i in firsts:
-                words: list[str] = []
-                for j in range(i, len(lines)):
-                    words += lines[j]
-                    if j not in lasts and len(words) <= high + 1:
-                        continue
-                    run = bigrams(words)
-                    if len(run) > high:  # runs only grow
+            ends = sorted(i for p in shared for i in places[p])
+            for k, first in enumerate(ends):
+                seen: set = set()
+                hits: set = set()
+                at = first
+                for last in ends[k:]:
+                    seen.update(pairs[at : last + 1])
+                    if len(seen) > high:  # runs only grow
                         break
-                    if j in lasts and len(run) >= low:
-                        score = dice(run, wanted)
-                        if score >= least:
-                            found.append((name, score, i, j))
+                    at = last + 1
+                    hits.add(pairs[last])
+                    score = 2 * len(hits) / (len(seen) + len(wanted))
+                    if score >= least and len(seen) >= low:
+                        found.append((name, score, first, last + 1))
         taken: list[tuple[str, float, int, int]] = []
         for run in sorted(found, key=lambda r: (-r[1], r[3] - r[2], r[2], r[0])):
             if all(run[3] < t[2] or run[2] > t[3] for t in taken):
                 taken.append(run)
-        return sorted(taken, key=lambda x: x[2])
+        return [(name, score, line[first], line[last]) for name, score, first, last in sorted(taken, key=lambda x: x[2])]
 
 
 def _pair_hash(a: str, b: str) -> np.uint64:
@@ -141,10 +157,10 @@ def _pair_hash(a: str, b: str) -> np.uint64:
 def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """``doc_id, license, dice, first_line, last_line`` (from 0) of the licence texts in ``docs(doc_id, text, ...)``.
 
-    Runs of whole lines that reach ``least`` with a template are taken by falling
+    Runs of words that reach ``least`` with a template are taken by falling
     coefficient, without those that overlap one taken before; ties go to the shorter
     run, then to the earlier, then to the first licence by name. Null, empty and wordless texts
-    have none. Repeated rows report theirs once each, with their doc_id or null. Other
+    have none. Of a long text only the places with bigrams of a template that it has enough of are compared. Repeated rows report theirs once each, with their doc_id or null. Other
     columns are ignored. An empty table gives an empty result.
     """
     wanted = Templates.of(templates or TEMPLATES, least)

@@ -30,21 +30,21 @@ KINDS = ("EMAIL", "IP", "IBAN", "SSN", "PHONE", "CARD", "NAME")
 #: Loose patterns; of overlapping candidates the leftmost counts, of those the first kind.
 CANDIDATE = re.compile(
     r"(?P<EMAIL>(?<![\w.+%-])[\w.+%-]{1,64}@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?P<IP>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
-    r"|(?P<IBAN>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<SSN>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<PHONE>(?<![\w+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))"
-    r"|(?P<CARD>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
+    r"|(?P<IP>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]))"
+    r"|(?P<IBAN>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?P<SSN>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<PHONE>(?<![\w+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w))"
+    r"|(?P<CARD>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
     r"|(?P<NAME>\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Monsieur|Madame)\.? [A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)?)"
 )
 STRICT = {
     "EMAIL": re.compile(r"[A-Za-z0-9](?:[\w.+%-]*[A-Za-z0-9])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"),
-    "IP": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?!$)|$)){4}"),
-    "IBAN": re.compile(r"[A-Z]{2}\d{2}[A-Z0-9 ]{11,40}"),
-    "SSN": re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
-    "PHONE": re.compile(r"\+?\d{0,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}"),
-    "CARD": re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5}"),
-    "NAME": re.compile(r"[^\d]+"),
+    "IP": re.compile(r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?!$)|$)){4}"),
+    "IBAN": re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,40}"),
+    "SSN": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
+    "PHONE": re.compile(r"\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}"),
+    "CARD": re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}"),
+    "NAME": re.compile(r"[^0-9]+"),
 }
 #: Gazetteers: top-level domains, calling codes, card issuers and given names.
 DOMAINS = frozenset("com org net edu gov io co info biz me dev app uk de fr es it nl eu ch at be pt pl se no dk fi ie us ca au nz jp cn in br mx ar ru kr".split())
@@ -62,6 +62,9 @@ SCHEMA = "doc_id long, start int, end int, kind string, score double"
 
 
 def luhn(digits: str) -> bool:
+    """Whether ASCII digits, one at least, have the check digit of cards."""
+    if not digits:
+        return False
     total = 0
     for k, c in enumerate(reversed(digits)):
         x = int(c) * (1 + k % 2)
@@ -112,7 +115,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, tuple[int, ...], int]
 
 
 def _may_hold(column: pa.Array) -> np.ndarray:
-    """Rows that can hold a candidate: with a digit, an @ or a form of address."""
+    """Rows that can hold a candidate: with an ASCII digit, an @ or a form of address, as CANDIDATE asks for."""
     return pc.fill_null(pc.match_substring_regex(column, r"[0-9@]|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Monsieur|Madame)\b"), False).to_numpy(zero_copy_only=False)
 
 

@@ -415,16 +415,36 @@ def test_licenses_against_brute_force(spark):
     rng = random.Random(17)
     lines = [prose(rng, 8) for _ in range(4)]
     mit = license.TEMPLATES["MIT"][2].replace("granted", "given")
-    texts = ["\n".join([lines[0], mit, lines[1]]), "\n".join([lines[2], "Released under the MIT License."]), "\n".join(lines), mit + "\n\n" + license.TEMPLATES["ISC"][0]]
+    texts = ["\n".join([lines[0], mit, lines[1]]), "\n".join([lines[2], "Released under the MIT License."]), "\n".join(lines), mit + "\n\n" + license.TEMPLATES["ISC"][0], lines[0] + " Released under the MIT License, see below. " + lines[1], "Copyright 2020 X. Licensed under the MIT License. All rights reserved.", license._BSD.replace("\n", " ") + " " + lines[0]]
     got = {(r["doc_id"], r["license"], r["first_line"], r["last_line"]): r["dice"] for r in license.licenses(documents(spark, texts)).collect()}
     for d, text in enumerate(texts):
-        rows = [license.tokens(x) for x in text.split("\n")]
-        runs = [(license.dice(license.bigrams([w for r in rows[i : j + 1] for w in r]), license.bigrams(license.tokens(t))), -(j - i), -i, n, j) for i in range(len(rows)) for j in range(i, len(rows)) if rows[i] and rows[j] for n, ts in license.TEMPLATES.items() for t in ts]
+        words = [(w, k) for k, x in enumerate(text.split("\n")) for w in license.tokens(x)]
+        runs = []
+        for n, ts in license.TEMPLATES.items():
+            for t in ts:
+                wanted = license.bigrams(license.tokens(t))
+                for i in range(len(words)):
+                    run, hits = set(), 0
+                    for j in range(i + 1, min(len(words), i + 3 * len(wanted))):
+                        pair = (words[j - 1][0], words[j][0])
+                        hits += pair in wanted and pair not in run
+                        run.add(pair)
+                        score = 2 * hits / (len(run) + len(wanted))
+                        if score >= license.LEAST:
+                            runs.append((score, i, j, n))
         taken = []
-        for score, width, i, name, j in sorted((r for r in runs if r[0] >= license.LEAST), key=lambda r: (-r[0], -r[1], -r[2], r[3])):
-            if all(j < a or -i > b for _, a, b, _ in taken):
-                taken.append((name, -i, j, score))
-        assert {k[1:]: v for k, v in got.items() if k[0] == d} == pytest.approx({(n, a, b): s for n, a, b, s in taken})
+        for score, i, j, name in sorted(runs, key=lambda r: (-r[0], r[2] - r[1], r[1], r[3])):
+            if all(j < a or i > b for _, a, b, _ in taken):
+                taken.append((name, i, j, score))
+        assert {k[1:]: v for k, v in got.items() if k[0] == d} == pytest.approx({(n, words[i][1], words[j][1]): s for n, i, j, s in taken})
+    assert {k[1] for k in got if k[0] in (4, 5)} == {"MIT"} and {k[1] for k in got if k[0] == 6} == {"BSD-2-Clause"}
+
+
+def test_pii_digits_of_other_scripts(spark):
+    assert not pii.luhn("") and pii.luhn("4539148803436467") and pii.luhn("0")
+    assert not list(pii.candidates("card ４１１１１１１１１１１１１１１１ and 5"))
+    texts = ["card ４５３９１４８８０３４３６４６７", "card 4539 1488 0343 6467 and ４１１１１１１１１１１１１１１１", "", None]
+    assert {r["doc_id"] for r in pii.pii_spans(documents(spark, texts)).collect()} <= {1}
 
 
 # --- awkward tables ---
