@@ -215,7 +215,10 @@ def corpus_bleu(spark, sf_dir):
     return summary.where("metric = 'bleu_score'").select(F.round("value", 4).alias("bleu"))
 
 
-@_query(f"WITH {_GRAMS}, f AS (SELECT w.conv_id, w.turn, n, CASE WHEN coalesce(hit, 0) = 0 THEN 0.0 ELSE 2.0 * hit / (len(o) - n + 1 + len(r) - n + 1) END AS f FROM w CROSS JOIN range(1, 3) x(n) LEFT JOIN h USING (conv_id, turn, n)) SELECT 'rouge' || n AS metric, round(avg(f), 6) AS value FROM f GROUP BY n")
+_SETS = r"""w AS (SELECT list_filter(string_split_regex(replace(text, '.', ' '), '\s+'), lambda t: t <> '') AS o, list_filter(string_split_regex(replace(prev, '.', ' '), '\s+'), lambda t: t <> '') AS r FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) WHERE role = 'assistant' AND prev IS NOT NULL), s AS (SELECT n, list_distinct(list_transform(generate_series(1, len(o) - n + 1), lambda i: array_to_string(o[i:i + n - 1], ' '))) AS x, list_distinct(list_transform(generate_series(1, len(r) - n + 1), lambda i: array_to_string(r[i:i + n - 1], ' '))) AS y FROM w, range(1, 3) t(n)), p AS (SELECT n, coalesce(len(list_intersect(x, y)) / nullif(CAST(len(x) AS DOUBLE), 0), 0) AS p, coalesce(len(list_intersect(x, y)) / nullif(CAST(len(y) AS DOUBLE), 0), 0) AS q FROM s)"""
+
+
+@_query(f"WITH {_SETS} SELECT 'rouge' || n AS metric, round(avg(2 * p * q / (p + q + 1e-8)), 6) AS value FROM p GROUP BY n")
 def rouge_ngrams(spark, sf_dir):
     summary = M.evaluate(_answers(spark, sf_dir), [M.rouge()])[0]
     return summary.where("metric IN ('rouge1', 'rouge2')").select("metric", F.round("value", 6).alias("value"))

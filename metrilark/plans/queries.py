@@ -232,13 +232,27 @@ def bradley_terry_ratings(spark, sf_dir):
     return pairwise.bradley_terry(_matches(spark, sf_dir))
 
 
-@_query("SELECT doc_id, item_id, shot_rank FROM (SELECT doc_id, item_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:' || doc_id || ':' || item_id), item_id) AS INT) AS shot_rank FROM labels, benchmark) WHERE shot_rank <= 3")
+_MD5 = "CAST('0x' || left(md5({}), 12) AS BIGINT)"
+_STEPS = f"list_filter({list(sampling.PRIMES)}, lambda p: {{n}} % p <> 0)"
+
+
+def _walk(what: str, key: str, size: str, at: str) -> str:
+    """SQL of where a walk is after some steps."""
+    steps = _STEPS.format(n=size)
+    start, step = (_MD5.format(f"'42:{what}:{x}:' || {key}") for x in ("start", "step"))
+    return f"(({start} + {at} * {steps}[{step} % len({steps}) + 1]) % {size})"
+
+
+_POOL = "b AS (SELECT item_id, label, row_number() OVER (PARTITION BY {by} ORDER BY md5('42:' || item_id), item_id) - 1 AS spot FROM (SELECT item_id, item_id % 3 AS label FROM benchmark))"
+
+
+@_query(f"WITH {_POOL.format(by='1')}, n AS (SELECT count(*) AS n FROM b), r AS (SELECT doc_id, k, {_walk('row', 'doc_id', 'n', 'k')} AS spot FROM labels, n, range(3) s(k)) SELECT doc_id, item_id, CAST(k + 1 AS INT) AS shot_rank FROM r JOIN b USING (spot)")
 def few_shot_random(spark, sf_dir):
     shots = sampling.random_shots(_table(spark, sf_dir, "labels").select("doc_id"), _table(spark, sf_dir, "benchmark").select("item_id"), 3, row_key="doc_id", shot_key="item_id")
     return shots.select("doc_id", F.col("shot_item_id").alias("item_id"), "shot_rank")
 
 
-@_query("WITH b AS (SELECT item_id, item_id % 3 AS label FROM benchmark), p AS (SELECT doc_id, item_id, label, md5('42:' || doc_id || ':' || item_id) AS h, md5('42:' || doc_id || ':' || label) AS g FROM labels, b), q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY h, item_id) AS n, dense_rank() OVER (PARTITION BY doc_id ORDER BY g, label) AS l FROM p), c AS (SELECT * FROM q WHERE n <= 1 + CAST(l <= 1 AS INT)) SELECT doc_id, item_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY h, item_id) AS INT) AS shot_rank FROM c")
+@_query(f"WITH {_POOL.format(by='label')}, l AS (SELECT label, count(*) AS size, row_number() OVER (ORDER BY md5('42:' || label)) - 1 AS l FROM b GROUP BY label), c AS (SELECT count(*) AS n FROM l), r AS (SELECT doc_id, t, 4 // n + CAST(t < 4 % n AS INT) AS quota, {_walk('label', 'doc_id', 'n', 't')} AS l FROM labels, c, range(64) s(t) WHERE t < least(n, 4)), q AS (SELECT doc_id, t, label, k, {_walk('row', "doc_id || ':' || l", 'size', 'k')} AS spot FROM r JOIN l USING (l), range(4) s(k) WHERE k < least(size, quota)) SELECT doc_id, item_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, t) AS INT) AS shot_rank FROM q JOIN b USING (label, spot)")
 def few_shot_balanced(spark, sf_dir):
     pool = _table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 3).alias("label"))
     shots = sampling.balanced_shots(_table(spark, sf_dir, "labels").select("doc_id"), pool, 4, "label", row_key="doc_id", shot_key="item_id")
