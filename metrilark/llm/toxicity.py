@@ -23,12 +23,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
 from . import calibrate
-from ._spark import bounded
+from ._spark import bounded, cut
 
 #: Labelled documents of each class that are used at most; all statistics besides come from the whole corpus.
 EXAMPLES = 3000
@@ -130,7 +131,7 @@ def similar_order(row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: i
         axis = rng.standard_normal(len(part))
         for _ in range(12):
             back = np.bincount(t, w * axis[r], terms) - mean * axis.sum()
-            axis = np.bincount(r, w * back[t], len(part)) - mean @ back
+            axis = np.bincount(r, w * back[t], len(part)) - (mean * back).sum()
             axis /= np.sqrt(axis @ axis) or 1.0
         member[part] = -1
         order = np.lexsort((part, axis))
@@ -223,7 +224,7 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    index: BlockMaxIndex | None
+    index: Broadcast | None
     knots: np.ndarray
     values: np.ndarray
 
@@ -235,7 +236,7 @@ class Model:
         """The score of each text and its neighbours."""
         if self.index is None:
             return np.full(len(column), float(self.values[0])), pa.array([[]] * len(column), EVIDENCE)
-        index = self.index
+        index = self.index.value
         row, term, count = term_counts(column, index.vocabulary)
         ids = pc.fill_null(own.cast(pa.int64()), _NOBODY).to_numpy(zero_copy_only=False)
         votes, near, cosine = index.votes(row, term.astype(np.int64), count, ids)
@@ -285,31 +286,42 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     sample = labels.where("label = 1").orderBy(*order).limit(examples).unionByName(labels.where("label = 0").orderBy(*order).limit(examples))
     sample = sample.withColumn("held", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(3)) == 0)
     chosen = _plain(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("held").alias("held")).where("text IS NOT NULL")
-    rows = chosen.mapInArrow(_example_terms, "doc_id long, label int, held boolean, terms array<long>, counts array<int>").where("size(terms) > 0").toArrow().sort_by("doc_id")
-    ids, label, held = (rows.column(c).to_numpy() for c in ("doc_id", "label", "held"))
-    label, held = label.astype(float), held.astype(bool)
+    examples_of = cut(chosen.mapInArrow(_example_terms, "doc_id long, label int, held boolean, terms array<long>, counts array<int>").where("size(terms) > 0"))
+    rows = examples_of.where("NOT held").toArrow().sort_by("doc_id")
+    ids, label = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy().astype(float)
     row = np.repeat(np.arange(len(ids)), pc.list_value_length(rows.column("terms")).to_numpy())
     hashes, count = pc.list_flatten(rows.column("terms")).to_numpy().view(np.uint64), pc.list_flatten(rows.column("counts")).to_numpy()
-    toxic, clean = int((label[~held] == 1).sum()), int((label[~held] == 0).sum())
+    toxic, clean = int((label == 1).sum()), int((label == 0).sum())
     if not toxic or not clean:
         return flat
-    vocabulary = np.unique(hashes[~held[row]])
+    vocabulary = np.unique(hashes)
     seen = _plain(docs).select("text").mapInArrow(lambda it: _document_frequencies(it, vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(len(vocabulary) + 1, np.int64)  # the last is the number of documents
     frequency[seen.column("term").to_numpy()] = seen.column("n").to_numpy()
     idf = np.log((1 + frequency[-1]) / np.maximum(1, frequency[:-1]))
-    term = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    known = vocabulary[term] == hashes
-    row, term, count = row[known], term[known], count[known]
-    keep = ~held[row]
-    idf = idf * np.sqrt(1 + likelihood_ratio(term[keep], label[row[keep]] == 1, len(vocabulary), toxic, clean) / GAIN)
-    index = BlockMaxIndex.build(vocabulary, idf, ids[~held], label[~held], (np.cumsum(~held) - 1)[row[keep]], term[keep], count[keep])
-    votes, _, _ = index.votes((np.cumsum(held) - 1)[row[~keep]], term[~keep], count[~keep], ids[held])
-    targets = label[held]
+    term = np.searchsorted(vocabulary, hashes)
+    idf = idf * np.sqrt(1 + likelihood_ratio(term, label[row] == 1, len(vocabulary), toxic, clean) / GAIN)
+    # one copy a worker, whatever the number of tasks; bounded by the examples
+    index = docs.sparkSession.sparkContext.broadcast(BlockMaxIndex.build(vocabulary, idf, ids, label, row, term, count))
+    asked = examples_of.where("held").mapInArrow(lambda it: _held_votes(it, index.value), "label int, vote double").toArrow()
+    targets, votes = asked.column("label").to_numpy().astype(float), asked.column("vote").to_numpy()
     per_class = [shares[y] / max(1, int((targets == y).sum())) for y in (0, 1)]
     return Model(index, *calibrate.isotonic(votes, targets, np.where(targets == 1, per_class[1], per_class[0])))
 
 
+def _held_votes(batches: Iterator[pa.RecordBatch], index: BlockMaxIndex) -> Iterator[pa.RecordBatch]:
+    """The votes on examples that aren't searched, from their terms."""
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("terms")).to_numpy())
+        hashes, count = pc.list_flatten(rows.column("terms")).to_numpy().view(np.uint64), pc.list_flatten(rows.column("counts")).to_numpy()
+        term = np.minimum(np.searchsorted(index.vocabulary, hashes), len(index.vocabulary) - 1)
+        known = index.vocabulary[term] == hashes
+        votes, _, _ = index.votes(row[known], term[known], count[known], rows.column("doc_id").to_numpy())
+        yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(votes)], names=["label", "vote"])
+
+
 def likelihood_ratio(term: np.ndarray, toxic: np.ndarray, terms: int, n_toxic: int, n_clean: int) -> np.ndarray:
     """G of the 2 x 2 table of each term and the label; ``term`` has each example's distinct terms, ``toxic`` the examples' labels."""
     out = np.zeros(terms)
