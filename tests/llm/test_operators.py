@@ -77,6 +77,64 @@ def test_simhash_against_brute_force(spark):
         assert 1 - (1 - alone) ** bands >= 0.9
 
 
+def test_simhash_finds_every_pair(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(250):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(1000)}" for _ in range(120)]
+        other = list(base)
+        for k in rng.sample(range(120), rng.randint(6, 16)):
+            other[k] = f"{rng.choice(WORDS)}{rng.randrange(1000)}"
+        texts += [" ".join(base), " ".join(other)]
+    prints, _ = simhash.fingerprints(pa.array(texts))
+    distance = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    a, b = np.nonzero(np.triu(distance <= simhash.MAX_DISTANCE, 1))
+    assert (distance[a, b] >= simhash.MAX_DISTANCE - 3).sum() > 40
+    label = simhash.forest(len(texts), a, b)
+    wanted = {d: int(label[d]) for d in {*a.tolist(), *b.tolist()}}
+    docs = documents(spark, texts)
+    assert {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs).collect()} == wanted
+    split = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs, shard_rows=100).collect()}
+    assert split == wanted
+
+
+def test_components_in_rounds_and_in_one_task(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(1, 20)] + [(30, 25), (40, 30), (25, 30)], "a long, b long")
+    wanted = {**dict.fromkeys(range(1, 21), 1), **dict.fromkeys((25, 30, 40), 25)}
+    for one_task in (0, 100):
+        assert {r["doc_id"]: r["group_id"] for r in simhash.components(edges, one_task).collect()} == wanted
+
+
+@pytest.mark.parametrize("count", [100, 10**5, 10**6, 15 * 10**6])
+def test_cover_meets_every_difference(count):
+    rng = np.random.default_rng(7)
+    for most in (0, 1, 5, 16):
+        blocks = simhash.cover(count, most)
+        assert sum(radius + 1 for _, radius in blocks) == most + 1
+        for _ in range(200):
+            differ = rng.choice(128, most, replace=False)
+            assert any(np.isin(own, differ).sum() <= radius for own, radius in blocks)
+
+
+@pytest.mark.parametrize(("count", "prefix"), [(2000, 0), (10**5, 3), (15 * 10**6, 4)])
+def test_shards_hold_every_pair(count, prefix):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 64, (400, 2), dtype=np.uint64)
+    other = base.copy()
+    for row in other:
+        for bit in rng.choice(128, rng.integers(12, 20), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    prints = np.concatenate([base, other])
+    blocks = simhash.cover(count)
+    batch = pa.table({"doc_id": np.arange(800), "f0": prints[:, 0].view(np.int64), "f1": prints[:, 1].view(np.int64)}).to_batches()
+    rows = pa.Table.from_batches(list(simhash._shard_rows(iter(batch), blocks, prefix)))
+    shard = rows.column("shard").to_numpy()
+    edges = [simhash._shard_edges(rows.filter(pa.array(shard == s)), blocks, prefix, 16) for s in np.unique(shard)]
+    ours = simhash.forest(800, *(np.concatenate([e.column(c).to_numpy() for e in edges]) for c in ("a", "b")))
+    a, b = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= 16, 1))
+    assert len(a) > 150 and (ours == simhash.forest(800, a, b)).all()
+
+
 def test_gray_index_is_exact():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, (40, 2)).astype(np.uint64)
