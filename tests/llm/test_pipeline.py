@@ -33,3 +33,27 @@ def test_stages(spark):
     out = p.STAGES[4][1](spark, docs, SF)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, packing.pack(docs).collect()))
     assert p.run(spark, SF).count() == out.count()
+
+
+def test_near_duplicates_all_go(spark):
+    import random
+
+    import corpus_pipeline as p
+    import numpy as np
+    import pyarrow as pa
+    from metrilark.llm import simhash
+
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**5)}"
+    texts = []
+    for _ in range(250):
+        base = [word() for _ in range(120)]
+        other = list(base)
+        for k in rng.sample(range(120), rng.randint(6, 16)):
+            other[k] = word()
+        texts += [" ".join(base), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in p.STAGES[1][1](spark, docs, SF).collect())
+    prints, _ = simhash.fingerprints(pa.array([texts[k] for k in kept]))
+    distance = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    assert len(kept) < 450 and not np.triu(distance <= simhash.MAX_DISTANCE, 1).any()
