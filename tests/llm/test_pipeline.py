@@ -57,3 +57,13 @@ def test_near_duplicates_all_go(spark):
     prints, _ = simhash.fingerprints(pa.array([texts[k] for k in kept]))
     distance = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
     assert len(kept) < 450 and not np.triu(distance <= simhash.MAX_DISTANCE, 1).any()
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    from metrilark.llm import simhash
+
+    cuts = []
+    monkeypatch.setattr(simhash, "cut", lambda df, cut=simhash.cut: cuts.append(df) or cut(df))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert simhash.near_duplicates(docs).count() > 2
+    assert len(cuts) == 3
