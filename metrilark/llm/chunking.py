@@ -111,6 +111,13 @@ def _group_sets(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return ranked.withColumns(edges).select("head", "digest", "bytes", "df", F.when(F.col("at") == 1, F.col("second")).otherwise(F.col("first")).alias("holder"))
 
 
+def _shorter_first(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """``short, long`` of ``pairs(a, b)``: of both the one with fewer keys in ``packed(head, keys, n)`` first, for its keys are sent to the other's."""
+    size = lambda c: packed.select(F.col("head").alias(c), F.col("n").alias(f"n_{c}"))
+    swap = F.col("n_a") > F.col("n_b")
+    return pairs.join(size("a"), "a").join(size("b"), "b").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("short"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("long"))
+
+
 def _group_pairs(sets: DataFrame, groups: DataFrame, least: float) -> DataFrame:
     """``head, other, common``: all pairs of groups where ``other`` has at least ``least`` of a document of ``head``, and for every group the one that is first in most of its digests."""
     by_head = Window.partitionBy("head")
@@ -121,10 +128,10 @@ def _group_pairs(sets: DataFrame, groups: DataFrame, least: float) -> DataFrame:
     credit = sets.groupBy("head", "holder").agg(F.sum("bytes").alias("n")).groupBy("head").agg(F.max(F.struct("n", (-F.col("holder")).alias("less"))).alias("top"))
     pairs = searched.unionByName(credit.select("head", (-F.col("top.less")).alias("other"))).select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b")).distinct()
     # what is common is so both ways; a digest's lowest byte gives way to its chunk's length
-    packed = sets.groupBy("head").agg(F.collect_list(F.col("digest").bitwiseAND(F.lit(-256)).bitwiseOR(F.col("bytes").cast("long"))).alias("keys"))
+    packed = cut(sets.groupBy("head").agg(F.collect_list(F.col("digest").bitwiseAND(F.lit(-256)).bitwiseOR(F.col("bytes").cast("long"))).alias("keys")).withColumn("n", F.size("keys")))
     side = lambda c: packed.select(F.col("head").alias(c), F.col("keys").alias(f"keys_{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.expr("aggregate(array_intersect(keys_a, keys_b), 0L, (n, key) -> n + (key & 255))").alias("common"))
-    both = F.array(F.struct(F.col("a").alias("head"), F.col("b").alias("other")), F.struct(F.col("b").alias("head"), F.col("a").alias("other")))
+    met = _shorter_first(pairs, packed).join(side("short"), "short").join(side("long"), "long").select("short", "long", F.expr("aggregate(array_intersect(keys_short, keys_long), 0L, (n, key) -> n + (key & 255))").alias("common"))
+    both = F.array(F.struct(F.col("short").alias("head"), F.col("long").alias("other")), F.struct(F.col("long").alias("head"), F.col("short").alias("other")))
     return met.select(F.explode(both).alias("way"), "common").select("way.head", "way.other", "common")
 
 
