@@ -102,30 +102,62 @@ def chunk_sets(docs: DataFrame) -> DataFrame:
     return rows.join(again, "doc_id", "left_anti").unionByName(merged)
 
 
-def _group_sets(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """``head, digest, bytes, df, holder``: the digests of each group that other groups have too, in how many they are, and the first other one."""
-    by_digest = Window.partitionBy("digest")
-    sets = shared.join(groups.select(F.col("head").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "head")
-    ranked = sets.withColumns({"df": F.count("*").over(by_digest), "at": F.row_number().over(by_digest.orderBy("head"))}).where("df > 1")
-    edges = {"first": F.min("head").over(by_digest), "second": F.min(F.when(F.col("at") == 2, F.col("head"))).over(by_digest)}
-    return ranked.withColumns(edges).select("head", "digest", "bytes", "df", F.when(F.col("at") == 1, F.col("second")).otherwise(F.col("first")).alias("holder"))
-
-
-def _group_pairs(sets: DataFrame, groups: DataFrame, least: float) -> DataFrame:
-    """``head, other, common``: all pairs of groups where ``other`` has at least ``least`` of a document of ``head``, and for every group the one that is first in most of its digests."""
-    by_head = Window.partitionBy("head")
-    ordered = sets.join(groups.select("head", "least_bytes"), "head").withColumns({"all": F.sum("bytes").over(by_head), "upto": F.sum("bytes").over(by_head.orderBy("df", "digest"))})
-    prefix = ordered.where(F.col("upto") - F.col("bytes") <= F.col("all") - (least - 1e-12) * F.col("least_bytes"))
-    others = sets.select(F.col("head").alias("other"), "digest")
-    searched = prefix.select("head", "digest").join(others, "digest").where("head <> other").select("head", "other")
-    credit = sets.groupBy("head", "holder").agg(F.sum("bytes").alias("n")).groupBy("head").agg(F.max(F.struct("n", (-F.col("holder")).alias("less"))).alias("top"))
-    pairs = searched.unionByName(credit.select("head", (-F.col("top.less")).alias("other"))).select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b")).distinct()
-    # what is common is so both ways; a digest's lowest byte gives way to its chunk's length
-    packed = sets.groupBy("head").agg(F.collect_list(F.col("digest").bitwiseAND(F.lit(-256)).bitwiseOR(F.col("bytes").cast("long"))).alias("keys"))
-    side = lambda c: packed.select(F.col("head").alias(c), F.col("keys").alias(f"keys_{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.expr("aggregate(array_intersect(keys_a, keys_b), 0L, (n, key) -> n + (key & 255))").alias("common"))
-    both = F.array(F.struct(F.col("a").alias("head"), F.col("b").alias("other")), F.struct(F.col("b").alias("head"), F.col("a").alias("other")))
-    return met.select(F.explode(both).alias("way"), "common").select("way.head", "way.other", "common")
+def _shared_keys(sets: DataFrame) -> DataFrame:
+    """``doc_id, keys``: the sorted keys of what each document shares with another one. A key is a digest whose lowest byte gives way to its chunk's length."""
+    keyed = sets.select("doc_id", F.col("digest").bitwiseAND(F.lit(-256)).bitwiseOR(F.col("bytes").cast("long")).alias("key"))
+    held = keyed.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
+    return held.groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+
+
+def _group_items(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """``head, items, least_bytes``: the keys of each group that other groups have too, the rarest first, each with in how many it is and the first other one."""
+    by_key = Window.partitionBy("key")
+    sets = lists.join(groups.select(F.col("head").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("head"), F.explode("keys").alias("key"))
+    ranked = sets.withColumns({"df": F.count("*").over(by_key), "at": F.row_number().over(by_key.orderBy("head"))}).where("df > 1")
+    edges = {"first": F.min("head").over(by_key), "second": F.min(F.when(F.col("at") == 2, F.col("head"))).over(by_key)}
+    holder = F.when(F.col("at") == 1, F.col("second")).otherwise(F.col("first"))
+    item = F.struct(F.col("df").cast("int").alias("df"), "key", holder.alias("holder"))
+    rows = ranked.withColumns(edges).select("head", item.alias("item"), F.lit(None).cast("long").alias("least_bytes"))
+    # the bytes of a group come along, so that its items needn't be sent once more to meet them
+    rows = rows.unionByName(groups.select("head", F.lit(None).cast("struct<df:int,key:bigint,holder:bigint>").alias("item"), "least_bytes"))
+    return rows.groupBy("head").agg(F.sort_array(F.collect_list("item")).alias("items"), F.max("least_bytes").alias("least_bytes")).where("size(items) > 0")
+
+
+def _searches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """``head, key`` of the rarest keys of each group, of which a container with ``least`` of a document of it must hold one; ``head, other``: the one that is first in most of its bytes."""
+    for batch in batches:
+        items = batch.column("items")
+        starts = items.offsets.to_numpy().astype(np.int64)
+        flat = items.values.slice(starts[0], starts[-1] - starts[0])
+        key, holder = flat.field("key").to_numpy(), flat.field("holder").to_numpy()
+        starts = starts - starts[0]
+        heads, size = batch.column("head").to_numpy(), key & 255
+        rows = np.repeat(np.arange(len(heads)), np.diff(starts))
+        sums = np.concatenate(([0], np.cumsum(size)))
+        before, whole = sums[:-1] - sums[starts[:-1]][rows], (sums[starts[1:]] - sums[starts[:-1]])
+        limit = whole - (least - 1e-12) * batch.column("least_bytes").to_numpy()
+        rare = np.flatnonzero(before <= limit[rows])
+        order = np.lexsort((holder, rows))
+        new = np.flatnonzero(np.concatenate(([True], (rows[order][1:] != rows[order][:-1]) | (holder[order][1:] != holder[order][:-1]))) if len(order) else [])
+        credit, owner, first = np.add.reduceat(size[order], new) if len(new) else size, rows[order][new], holder[order][new]
+        best = np.lexsort((first, -credit, owner))
+        best = best[np.unique(owner[best], return_index=True)[1]]
+        out = {"head": np.concatenate([heads[rows[rare]], heads[owner[best]]]), "key": pa.concat_arrays([pa.array(key[rare]), pa.nulls(len(best), pa.int64())]), "other": pa.concat_arrays([pa.nulls(len(rare), pa.int64()), pa.array(first[best])])}
+        yield pa.RecordBatch.from_arrays([pa.array(out["head"]), out["key"], out["other"]], names=list(out))
+
+
+def _group_pairs(items: DataFrame, least: float) -> DataFrame:
+    """``head, listed, top`` of groups: all others that have at least ``least`` of a document of ``head``, and the one that has most of it of those looked at, as (-common, id)."""
+    searches = bounded(items).mapInArrow(lambda it: _searches(it, least), "head long, key long, other long")
+    others = items.select(F.col("head").alias("other"), F.explode("items.key").alias("key"))
+    searched = searches.where("key IS NOT NULL").select("head", "key").join(others, "key").where("head <> other").select("head", "other")
+    pairs = searched.unionByName(searches.where("other IS NOT NULL").select("head", "other")).select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b"))
+    side = lambda c: items.select(F.col("head").alias(c), F.col("items.key").alias(f"keys_{c}"), F.col("least_bytes").alias(f"least_{c}"))
+    # each pair once by sets of the second ones, which already are where the first one's keys go
+    met = pairs.groupBy("a").agg(F.collect_set("b").alias("b")).join(side("a"), "a").select("a", "keys_a", "least_a", F.explode("b").alias("b")).join(side("b"), "b")
+    met = met.select("a", "b", "least_a", "least_b", F.expr("aggregate(array_intersect(keys_a, keys_b), 0L, (n, key) -> n + (key & 255))").alias("common"))
+    way = lambda head, other: F.struct(F.col(head).alias("head"), F.struct((-F.col("common")).alias("less"), F.col(other).alias("id")).alias("one"), (F.col("common") >= least * F.col(f"least_{head}") - 1e-6).alias("most"))
+    return met.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("way")).select("way.*").groupBy("head").agg(F.collect_list(F.when(F.col("most"), F.col("one"))).alias("listed"), F.min("one").alias("top"))
 
 
 def fingerprints(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -153,25 +185,27 @@ def fingerprints(docs: DataFrame, least: float = LEAST) -> DataFrame:
     gives an empty result.
     """
     sets = chunk_sets(docs)
-    shared = cut(sets.withColumn("df", F.count("*").over(Window.partitionBy("digest"))).where("df > 1").drop("df"))
-    whole = cut(sets.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"), F.bit_xor("digest").alias("sketch")))
+    lists = cut(_shared_keys(sets))
+    whole = sets.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"), F.bit_xor("digest").alias("sketch"))
+    signed = lists.select("doc_id", F.xxhash64("keys").alias("s0"), F.xxhash64(F.lit(1), "keys").alias("s1"), F.size("keys").alias("shared"), F.expr("aggregate(keys, 0L, (n, key) -> n + (key & 255))").alias("shared_bytes"))
+    # what shares nothing is a group of its own
+    alone = {"s0": F.coalesce("s0", "doc_id"), "s1": F.coalesce("s1", F.lit(0)), "shared": F.coalesce("shared", F.lit(0)), "shared_bytes": F.coalesce("shared_bytes", F.lit(0)).cast("long")}
     signature = ["s0", "s1", "shared"]
-    signed = shared.groupBy("doc_id").agg(F.bit_xor("digest").alias("s0"), F.bit_xor(F.xxhash64("digest")).alias("s1"), F.count("*").alias("shared"), F.sum("bytes").alias("shared_bytes"))
     same = Window.partitionBy(*signature)
-    placed = whole.join(signed, "doc_id").withColumns({"head": F.min("doc_id").over(same), "at": F.row_number().over(same.orderBy("doc_id"))})
-    placed = cut(placed.withColumns({"second": F.min(F.when(F.col("at") == 2, F.col("doc_id"))).over(same), "least_bytes": F.min("bytes").over(same)}).drop(*signature, "at"))
-    groups = placed.where("doc_id = head").select("head", "least_bytes")
-    apart = cut(_group_sets(shared, groups))
-    others = _group_pairs(apart, groups, least).groupBy("head").agg(F.collect_list(F.struct((-F.col("common")).alias("less"), F.col("other").alias("id"))).alias("others"))
+    placed = whole.join(signed, "doc_id", "left").withColumns(alone).withColumns({"head": F.min("doc_id").over(same), "at": F.row_number().over(same.orderBy("doc_id"))})
+    placed = cut(placed.withColumns({"second": F.min(F.when(F.col("at") == 2, F.col("doc_id"))).over(same), "least_bytes": F.min("bytes").over(same)}).drop("s0", "s1", "at"))
+    groups = placed.where("doc_id = head AND shared > 0").select("head", "least_bytes")
+    others = _group_pairs(cut(_group_items(lists, small(groups, 16))), least)
     copy = F.when(F.col("doc_id") == F.col("head"), F.col("second")).otherwise(F.col("head"))
     none = F.array().cast("array<struct<less:bigint,id:bigint>>")
     own = F.when(copy.isNotNull(), F.array(F.struct((-F.col("shared_bytes")).alias("less"), copy.alias("id")))).otherwise(none)
-    holders = placed.join(others, "head", "left").select("doc_id", "shared_bytes", "head", F.array_sort(F.concat(own, F.coalesce("others", none))).alias("holders"))
-    out = whole.join(holders, "doc_id", "left")
+    # the best one is among those listed, if any are
+    met = F.when(F.size("listed") > 0, F.col("listed")).when(F.col("top").isNotNull(), F.array("top")).otherwise(none)
+    out = placed.join(others, "head", "left").withColumn("holders", F.sort_array(F.concat(own, met)))
     share = lambda c: F.coalesce(c / F.col("bytes"), F.lit(0.0))
     best = F.try_element_at("holders", F.lit(1))
-    pairs = F.transform(F.coalesce("holders", none), lambda h: F.struct(h["id"].alias("container_id"), (-h["less"] / F.col("bytes")).alias("share")))
-    return out.select("doc_id", "chunks", "bytes", "sketch", F.coalesce("shared_bytes", F.lit(0)).cast("long").alias("shared_bytes"), share(F.col("shared_bytes")).alias("containment"), best["id"].alias("container_id"), share(-best["less"]).alias("container_share"), F.coalesce("head", "doc_id").alias("group_id"), F.filter(pairs, lambda p: p["share"] >= least).alias("containers"))
+    pairs = F.transform("holders", lambda h: F.struct(h["id"].alias("container_id"), (-h["less"] / F.col("bytes")).alias("share")))
+    return out.select("doc_id", "chunks", "bytes", "sketch", "shared_bytes", share(F.col("shared_bytes")).alias("containment"), best["id"].alias("container_id"), share(-best["less"]).alias("container_share"), F.col("head").alias("group_id"), F.filter(pairs, lambda p: p["share"] >= least).alias("containers"))
 
 
 def containment_pairs(docs: DataFrame, least: float) -> DataFrame:

@@ -266,6 +266,38 @@ def test_fingerprints_give_all_containers(spark):
     assert out[1]["container_id"] == 2 and out[2]["container_id"] == 1 and out[5]["container_id"] is None
 
 
+def test_containers_are_not_shuffled(spark, capsys):
+    rng = random.Random(12)
+    passage, other = prose(rng, 150), prose(rng, 150)
+    texts = [passage] * 30 + [f"{passage} {prose(rng, 3)} {other}" for _ in range(20)] + [other] * 10
+    out = chunking.fingerprints(documents(spark, texts))
+    out.explain(mode="formatted")
+    moved = [n for n in re.split(r"\n\(\d+\) ", capsys.readouterr().out) if n.startswith("Exchange")]
+    assert moved and not [n for n in moved if "holders#" in n]
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert all(rows[0]["containers"][1:] == rows[k]["containers"][1:] for k in range(30)) and len(rows[0]["containers"]) > 1
+
+
+def test_searches_against_a_loop():
+    rng = random.Random(13)
+    groups = [(h, sorted((rng.randint(2, 9), (rng.getrandbits(50) << 8) | rng.randint(16, 128), rng.randint(100, 104)) for _ in range(n)), rng.randint(200, 3000)) for h, n in enumerate((1, 40, 3, 90, 7))]
+    items = pa.list_(pa.struct([("df", pa.int32()), ("key", pa.int64()), ("holder", pa.int64())]))
+    rows = [{"head": h, "items": [dict(zip(("df", "key", "holder"), i)) for i in own], "least_bytes": n} for h, own, n in groups]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("head", pa.int64()), ("items", items), ("least_bytes", pa.int64())]))
+    for part, some in ((batch, groups), (batch.slice(2, 2), groups[2:4]), (batch.slice(0, 0), [])):
+        got = [tuple(r.values()) for b in chunking._searches(iter([part]), 0.5) for r in b.to_pylist()]
+        wanted = []
+        for h, own, n in some:
+            held, before, credit = sum(k & 255 for _, k, _ in own), 0, {}
+            for _, k, holder in own:
+                if before <= held - 0.5 * n:
+                    wanted.append((h, k, None))
+                before += k & 255
+                credit[holder] = credit.get(holder, 0) + (k & 255)
+            wanted.append((h, None, min(credit, key=lambda c: (-credit[c], c))))
+        assert sorted(got, key=str) == sorted(wanted, key=str)
+
+
 def test_short_passages_and_edited_copies_share_chunks(spark):
     rng = random.Random(11)
     texts = []
