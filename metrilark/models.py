@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .functions.tokenizers import NotAvailable
+from .session import bounded
 
 
 class Adapter(Protocol):
@@ -35,7 +36,8 @@ class Client(Protocol):
 
 
 def mapped(rows: DataFrame, added: dict[str, str], make: Callable[[], Callable[[pd.DataFrame], dict[str, Sequence]]]) -> DataFrame:
-    """``rows`` with the columns ``added`` (name -> type) that the function opened by ``make()`` in each worker gives for a batch; columns of these names are replaced."""
+    """``rows`` with the columns ``added`` (name -> type) that the function opened by ``make()`` in each worker gives for a batch; columns of these names are replaced. Batches are bounded."""
+    bounded(rows.sparkSession)
     kept = rows.drop(*added)
     schema = StructType([*kept.schema.fields, *StructType.fromDDL(", ".join(f"`{k}` {t}" for k, t in added.items())).fields])
 

@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Most bytes and rows that go to a Python worker at once: there, lists of words take many times their bytes.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -25,8 +27,20 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
     return builder.getOrCreate()
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Arrow batches of the session are bounded, so that a worker's memory doesn't grow with the rows of its partition; smaller limits are kept."""
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        now = int(now) if now.lstrip("-").isdigit() else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends the package to the Python workers with Spark's own file distribution, once a context; they need no installation."""
+    bounded(spark)
     context = spark.sparkContext
     if not getattr(context, "_metrilark_shipped", False):
         handle, path = tempfile.mkstemp(prefix=f"{PACKAGE.name}-", suffix=".zip")
