@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import parsing, tokenizers
 from ..functions.processors import Processor, chain, lower
+from ..session import bounded
 
 
 @dataclass(frozen=True)
@@ -180,7 +181,8 @@ def checker_accuracies(df: DataFrame, checks: str) -> DataFrame:
 
 
 def details(df: DataFrame, metrics: Sequence[Metric]) -> DataFrame:
-    """``df`` with the row columns of all metrics; of equal names the last counts."""
+    """``df`` with the row columns of all metrics; of equal names the last counts. Texts and words go to the workers in bounded batches."""
+    bounded(df.sparkSession)
     return df.withColumns({k: c for m in metrics for k, c in m.rows.items()})
 
 
